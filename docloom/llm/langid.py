@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 400
 MAX_LANGS = 256
+#: A language's rows are ranked in so many parts first, so that its ranking ends with SALTS x per_lang rows at most.
+SALTS = 64
 LANDMARKS = 160
 RIDGE = 0.05
 UND = "und"
@@ -124,8 +126,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     Raises ValueError beyond max_langs languages. A table without usable rows gives a model without languages.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("k"), "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("k", "lang").limit(per_lang * max_langs + 1).collect()
+    order = [F.xxhash64("k"), F.col("k")]
+    dealt = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("k"), F.lit(SALTS))).orderBy(*order))).filter(F.col("r") <= per_lang)
+    chosen = dealt.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= per_lang).select("k", "lang").limit(per_lang * max_langs + 1).collect()
     if len({r.lang for r in chosen}) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     keys = sorted({r.k for r in chosen if r.k is not None})

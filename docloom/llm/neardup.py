@@ -211,7 +211,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs of which one stands for each class; all columns. Of repeated rows of that document one stays."""
-    keep = classes(spark, docs).filter("is_first").select(F.col("doc_id").alias("_d"), F.col("xh").alias("_x")).distinct()
-    named = docs.withColumn("_xh", F.xxhash64("text"))
-    kept = named.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_xh") == F.col("_x")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_xh"]).select(*docs.columns)
+    keep = classes(spark, docs).filter("is_first").select(F.col("doc_id").alias("d"), F.col("xh").alias("x")).distinct()
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("xh"))
+    kept = named.join(keep, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "xh"]).select("row.*")

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut. A folder of our own only where none is set, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own only where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    shared_folder(spark)
     return df.checkpoint()
 
 
