@@ -149,14 +149,14 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
     lang_pred is ``und`` with score 0.0 where the text is null or has no letter, or where nothing was learned. The score
     is the winning regression value clipped to 0..1. Ties go to the language that sorts first. Repeated rows stay.
     """
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.langs, model.landmarks, model.weights, model.bias))
     names = docs.columns if keep is None else keep
     cols = [F.col(f"`{c}`") for c in names if c not in ("lang_pred", "score")]
     frame = docs.select(*cols, F.col(f"`{text}`").alias("_text"))
     out = T.StructType([f for f in frame.schema if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("_text")
             rest = batch.select([i for i in range(batch.num_columns) if i != at])

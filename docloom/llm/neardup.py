@@ -12,10 +12,10 @@ weighted Jaccard similarity. Points are made in order of time only up to a bound
 empty component are done again with twice the bound), so the work per document is about m log m beside one draw per shingle.
 
 Spark plan: documents with equal words are one text from the start (partial aggregation, so any number of exact copies is
-cheap). Every text is linked, per band, to the least text of its bucket and the link is verified on the whole texts; components are
-found; then only pairs of one bucket that lie in different components and whose sizes allow the similarity are
-verified, and the components are found again. No link within the buckets is lost, no bucket is capped, and a bucket of
-near copies costs its size, not its square.
+cheap). Every text is linked, per band, to the least text of its bucket, the link is verified on the whole texts, and components are
+found. Buckets that still hold several components go on: each round compares their rows with another leader each, until the
+pairs across components are few or a round gains next to nothing; then all of these, sizes and signatures allowing, are verified. Pairs within a component need no comparison, so no link
+that could join classes is lost, no bucket is capped, and a bucket of near copies costs its size a few times, not its square.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, materialise
@@ -33,6 +33,11 @@ from .textscan import U64, kgrams, mix, pieces, scan, within
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
+#: One bit of each signature component, in 64-bit columns. Pairs whose bits estimate a similarity below SKETCH_LEAST (over five standard deviations below SIMILARITY) are not verified.
+SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 64)]
+SKETCH_LEAST = 0.55
+#: All pairs of a bucket that lie in different components are verified at once when they are at most FEW times its rows, or after ROUNDS - 1 rounds of leaders.
+FEW, ROUNDS = 4, 12
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -125,7 +130,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = words.hashes()
             doc, item, count = shingles(h, words.first)
             n = b - a
-            key = bands(signatures(doc, item, count, n)).view(np.int64)
+            sig = signatures(doc, item, count, n)
+            key = bands(sig).view(np.int64)
+            sketch = np.packbits((sig & U64(1)).astype(np.uint8), axis=1).view(np.int64)
             size = np.diff(words.first)
             position = np.arange(len(h)) - np.repeat(words.first[:-1], size)
             identity = np.zeros((n, 2), dtype=U64)
@@ -141,9 +148,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column("xh").slice(a, n),
                     pa.array([r.tobytes() if s else None for r, s in zip(identity, some, strict=True)], pa.binary()),
                     pa.array(np.bincount(doc, weights=count, minlength=n).astype(np.int64)),
+                    *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))),
                     pa.ListArray.from_arrays(pa.array(ends), flat),
                 ],
-                ["doc_id", "xh", "tid", "size", "bands"],
+                ["doc_id", "xh", "tid", "size", *SKETCH, "bands"],
             )
 
 
@@ -174,6 +182,12 @@ def _linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
+def _close() -> Column:
+    """Sizes and sketches that allow the similarity."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))
+    return (F.least("size", "size2") >= SIMILARITY * F.greatest("size", "size2") - 1e-9) & (differ <= int(32 * len(SKETCH) * (1 - SKETCH_LEAST)))
+
+
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, xh (xxhash64 of the text), class_id (least doc_id of the class), is_first, for every row of docs(doc_id, text).
 
@@ -182,26 +196,44 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stands for its class (the least doc_id, then the least xh); rows without words are all first. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("xh"), "text")
-    signed = materialise(spark, rows.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, tid binary, size bigint, bands array<bigint>"))
-    texts = signed.filter(F.col("tid").isNotNull()).groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    entries = texts.select("tid", "size", F.explode("bands").alias("bucket"))
+    signed = materialise(spark, rows.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, tid binary, size bigint, {', '.join(f'{c} bigint' for c in SKETCH)}, bands array<bigint>"))
+    worded = signed.filter(F.col("tid").isNotNull())
+    texts = materialise(spark, worded.groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), *[F.first(c).alias(c) for c in ("size", *SKETCH)]))
+    entries = worded.groupBy("tid").agg(F.first("bands").alias("bands")).select("tid", F.explode("bands").alias("bucket"))
     leader = entries.groupBy("bucket").agg(F.min("tid").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(spark, entries.join(leader.select("bucket", "lead"), "bucket"))
-    star = shared.filter("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b")).distinct()
+    shared = materialise(spark, entries.join(leader.select("bucket", "lead"), "bucket").join(texts.select("tid", "size", *SKETCH), "tid"))
+    first = texts.select(F.col("tid").alias("lead"), *[F.col(c).alias(f"{c}2") for c in ("size", *SKETCH)])
+    star = shared.filter("tid <> lead").select("tid", "lead", "size", *SKETCH).distinct().join(first, "lead").filter(_close()).select(F.col("lead").alias("a"), F.col("tid").alias("b"))
     needed = shared.select("tid").distinct().join(texts.select("tid", "rep.doc_id", "rep.xh"), "tid")
     source = rows.select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), "text")
     content = materialise(spark, needed.join(source, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))).groupBy("tid").agg(F.first("text").alias("text")))
-    linked = materialise(spark, _linked(star, content))
-    found = components(spark, linked)
-    placed = shared.join(found, F.col("tid") == F.col("node"), "left").select("bucket", "tid", "size", "lead", F.coalesce("root", "tid").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    rest = placed.join(mixed, "bucket")
-    other = rest.select("bucket", F.col("tid").alias("tid2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    close = F.least("size", "size2") >= SIMILARITY * F.greatest("size", "size2") - 1e-9
-    pairs = rest.join(other, "bucket").filter((F.col("tid") < F.col("tid2")) & (F.col("root") != F.col("root2")) & (F.col("tid") != F.col("lead")) & close)
-    more = materialise(spark, _linked(pairs.select(F.col("tid").alias("a"), F.col("tid2").alias("b")).distinct(), content))
-    final = components(spark, linked.unionByName(more)) if not more.isEmpty() else found
-    rooted = texts.select("tid", "rep").join(final, F.col("tid") == F.col("node"), "left").select("tid", "rep", F.coalesce("root", "tid").alias("root"))
+    links = materialise(spark, _linked(star, content))
+    gained = links.count()
+    found = components(spark, links)
+    mine = ["tid", "size", *SKETCH]
+    rest = shared.select("bucket", *mine)
+    for turn in range(1, ROUNDS + 1):
+        placed = rest.join(found, F.col("tid") == F.col("node"), "left").select("bucket", *mine, F.coalesce("root", "tid").alias("root"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+        rest = materialise(spark, placed.join(mixed, "bucket"))
+        parts = rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        left = parts.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        if not left.entries:
+            break
+        last = turn == ROUNDS or left.pairs <= FEW * left.entries or gained < 0.01 * left.entries
+        if last:
+            other = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in (*mine, "root")])
+            pairs = rest.join(other, "bucket").filter((F.col("tid") < F.col("tid2")) & (F.col("root") != F.col("root2")) & _close())
+        else:
+            lead = rest.groupBy("bucket").agg(F.min_by(F.struct(*mine, "root"), F.xxhash64("tid", "bucket", F.lit(turn))).alias("l")).select("bucket", *[F.col(f"l.{c}").alias(f"{c}2") for c in (*mine, "root")])
+            pairs = rest.join(lead, "bucket").filter((F.col("root") != F.col("root2")) & _close())
+        more = materialise(spark, _linked(pairs.select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).distinct(), content))
+        gained = more.count()
+        found = components(spark, found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+        rest = rest.drop("root")
+        if last:
+            break
+    rooted = texts.select("tid", "rep").join(found, F.col("tid") == F.col("node"), "left").select("tid", "rep", F.coalesce("root", "tid").alias("root"))
     first = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
     named = rooted.join(first, "root").select("tid", "lead")
     out = signed.select("doc_id", "xh", "tid").join(named, "tid", "left")

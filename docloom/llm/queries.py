@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, pii
+from . import decontam, langid, lengths, licenses, neardup, packing, pii, quality, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), "corpus-release-1")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.search(spark, rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), rows, 5)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
@@ -31,6 +36,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(spark, docs, quality.train(docs, quality.grades(_table(spark, sf_dir, "labels"))))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +54,16 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.col("is_first").alias("is_representative"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.answers(lengths.histogram(lengths.encoded_lengths(spark, _table(spark, sf_dir, "documents"))))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(spark, _table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii_surrogates, op4_language_id, op7_best_fit_packing, op8_minhash_neardup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii_surrogates, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_url_filter, op7_best_fit_packing, op8_minhash_neardup, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
