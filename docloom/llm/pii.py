@@ -20,45 +20,55 @@ from .shared import materialise
 # What is detected. Order decides where two could start at one place.
 TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
-MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-SECRET = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<=(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{8,}|(?<![\p{L}\p{N}])[0-9a-f]{40}(?![\p{L}\p{N}])"
-IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])"
-SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])"
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES_M + TITLES_F) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}"
-ENTITY = "|".join(f"(?:{p})" for p in (MAIL, SECRET, IPV4, SSN, CARD, PHONE, NAME))
+# Every pattern stands where no letter or digit is before it; START says so once for all.
+START = r"(?<![\p{L}\p{N}])"
+MAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,20}"
+SECRET = r"AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|[0-9a-f]{40}(?![\p{L}\p{N}])|(?<=[=:\s\"'])(?=[A-Za-z0-9_\-]{8})(?<=(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{8,}+"
+IPV4 = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])"
+SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
+CARD = r"(?<![+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\p{L}\p{N}])"
+PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\p{L}\p{N}])|\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])"
+NAME = "(?:" + "|".join(TITLES_M + TITLES_F) + r")\.?(?: \p{Lu}[\p{L}'-]++(?!\p{N})){1,3}"
+ENTITY = START + "(?:" + "|".join((MAIL, SECRET, IPV4, SSN, CARD, PHONE, NAME)) + ")"
 #: A text without any of these has no entity: mail sign, digits, secrets' words and titles all hold one.
-HINT = r"[@\d]|password|passwd|token|secret|api_key|" + "|".join(TITLES_M + TITLES_F)
-
-# Alphabets and syllables of surrogates, by script.
-ALPHABETS = [("a-z", "abcdefghijklmnopqrstuvwxyz"), ("A-Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0-9", "0123456789"), ("а-я", "абвгдежзиклмнопрстуфхцчшэюя"), ("А-Я", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("α-ω", "αβγδεζηθικλμνξοπρστυφχψω"), ("一-鿿", "安白成大方高国海和金开林明南平青山石文新")]
-SYLLABLES = {"latin": "ba be bo da de do fa ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va".split(), "cyrillic": "ба бе бо ва да де до за ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то фа ша ха".split()}
-ENDINGS = {"latin": {"m": ["n", "r", "s", "l"], "f": ["na", "ra", "la", "ia"], "x": ["man", "ford", "ley", "well"]}, "cyrillic": {"m": ["н", "р", "с", "л"], "f": ["на", "ра", "ла", "ия"], "x": ["ко", "дзе", "их", "ук"]}}
-
-
-def _byte(seed: Column, i: Column | int) -> Column:
-    """Byte i (from 0, modulo 32) of a hash given as 64 hex digits."""
+SIGN = "[@0-9]"
+HINTS = ["passw", "token", "secret", "api_key", *(t for t in TITLES_M + TITLES_F if not any(t != other and other in t for other in TITLES_M + TITLES_F))]
+
+# Alphabets (first and last code point, letters) and syllables of surrogates, by script.
+ALPHABETS = [
+    (0x61, 0x7A, "abcdefghijklmnopqrstuvwxyz"),
+    (0x41, 0x5A, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (0x30, 0x39, "0123456789"),
+    (0x430, 0x44F, "абвгдежзиклмнопрстуфхцчшэюя"),
+    (0x410, 0x42F, "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (0x3B1, 0x3C9, "αβγδεζηθικλμνξοπρστυφχψω"),
+    (0x4E00, 0x9FFF, "安白成大方高国海和金开林明南平青山石文新"),
+]
+SYLLABLES = {"latin": "ba be bo da de do fa ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va", "cyrillic": "ба бе бо ва да де до за ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то фа ша ха"}
+ENDINGS = {"latin": {"m": "n r s l", "f": "na ra la ia", "x": "man ford ley well"}, "cyrillic": {"m": "н р с л", "f": "на ра ла ия", "x": "ко дзе их ук"}}
+
+
+def _byte(i: Column | int) -> Column:
+    """Byte i (from 0, modulo 32) of the row's hash, in column bytes."""
     at = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.substr(seed, 1 + 2 * F.pmod(at, F.lit(32)), F.lit(2)), 16, 10).cast("int")
+    return F.element_at("bytes", F.pmod(at, F.lit(32)) + 1)
 
 
-def _pick(values: list[str], seed: Column, i: Column | int) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), F.pmod(_byte(seed, i) * 7 + _byte(seed, i + 11), F.lit(len(values))) + 1)
+def _pick(values: Column, i: int) -> Column:
+    return F.element_at(values, F.pmod(_byte(i) * 7 + _byte(i + 11), F.size(values)) + 1)
 
 
-def masked(text: Column, seed: Column, hex_digits: bool = False) -> Column:
-    """text with every letter and digit replaced by one of its own class, driven by seed; other characters stay."""
+def _masked(text: Column, hex_digits: Column) -> Column:
+    """text with every letter and digit replaced by one of its own class, driven by column bytes; other characters stay."""
 
     def one(i: Column) -> Column:
         c = F.substr(text, i, F.lit(1))
-        n = _byte(seed, i) + F.pmod(F.floor(i / 32).cast("int") * 7 + _byte(seed, i + 13), F.lit(256))
-        out = F.when(c.rlike(r"^\P{L}$") & ~c.rlike("^[0-9]$"), c)
-        if hex_digits:
-            out = out.when(c.rlike("^[0-9a-f]$"), F.substr(F.lit("0123456789abcdef"), F.pmod(n, F.lit(16)) + 1, F.lit(1)))
-        for span, letters in ALPHABETS:
-            out = out.when(c.rlike(f"^[{span}]$"), F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1)))
-        return out.otherwise(F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(n, F.lit(26)) + 1, F.lit(1)))
+        code, n = F.ascii(c), _byte(i) + F.pmod(F.floor(i / 32).cast("int") * 7 + _byte(i + 13), F.lit(256))
+        letter = lambda letters: F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
+        out = F.when(hex_digits & (code.between(0x30, 0x39) | code.between(0x61, 0x66)), letter("0123456789abcdef"))
+        for low, high, letters in ALPHABETS:
+            out = out.when(code.between(low, high), letter(letters))
+        return out.when((code < 128) | c.rlike(r"^\P{L}$"), c).otherwise(letter(ALPHABETS[0][2]))
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise(text)
 
@@ -75,36 +85,46 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.sequence(F.lit(1), n), term), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _name(script: str, kind: str, seed: Column, attempt: Column) -> Column:
-    syllables = SYLLABLES[script]
-    extra = F.when(attempt > 1, _pick(syllables, seed, 6)).otherwise("")
-    return F.initcap(F.concat(_pick(syllables, seed, 0), _pick(syllables, seed, 2), _pick(syllables, seed, 4), extra, _pick(ENDINGS[script][kind], seed, 8)))
-
-
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate, in canonical form, of an entity for an attempt number (from 0)."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    host = F.split_part(canon, F.lit("@"), F.lit(2))
-    end = F.regexp_extract(host, r"\.(com|org|net)$", 1)
-    mail = F.concat(masked(F.split_part(canon, F.lit("@"), F.lit(1)), seed), F.lit("@mail"), F.pmod(_byte(seed, 29), F.lit(100)).cast("string"), F.lit(".example."), F.when(end == "", F.lit("com")).otherwise(end))
-    octet = [F.when(attempt < 8, 240 + F.pmod(_byte(seed, 0), F.lit(15))).otherwise(1 + F.pmod(_byte(seed, 0), F.lit(223))), _byte(seed, 1), _byte(seed, 2), _byte(seed, 3)]
-    address = F.concat_ws(".", *(o.cast("string") for o in octet))
-    body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), masked(F.substr(canon, F.lit(2), F.length(canon) - 2), seed))
-    check = luhn(F.concat(body, F.lit("0")))
-    last = F.pmod(10 - check + F.when(luhn(canon) == 0, 0).otherwise(1 + F.pmod(_byte(seed, 31), F.lit(9))), F.lit(10))
-    card = F.concat(body, last.cast("string"))
-    country = F.regexp_extract(canon, r"^(\+1|\+\d{2}|)", 1)
-    number = F.substr(canon, F.length(country) + 1)
-    area = F.concat((2 + F.pmod(_byte(seed, 30), F.lit(8))).cast("string"), masked(F.substr(number, F.lit(2)), seed))
-    fiction = F.concat(F.substr(area, F.lit(1), F.lit(3)), F.lit("555"), F.substr(area, F.lit(7)))
-    phone = F.concat(country, F.when((F.length(number) == 10) & (attempt < 8) & (F.substr(number, F.lit(4), F.lit(3)) == "555"), fiction).otherwise(area))
-    secret = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), masked(F.substr(canon, F.lit(5)), seed))).when(canon.rlike("^[0-9a-f]+$"), masked(canon, seed, hex_digits=True)).otherwise(masked(canon, seed))
-    cyrillic = canon.rlike(r"^\p{IsCyrillic}")
-    other = ~cyrillic & ~canon.rlike(r"^\p{IsLatin}")
-    out = F.when(kind == "mail", mail).when(kind == "ip", address).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "ssn", masked(canon, seed))
-    for label in ("m", "f", "x"):
-        out = out.when(kind == f"name_{label}", F.lower(F.when(other, masked(canon, seed)).when(cyrillic, _name("cyrillic", label, seed, attempt)).otherwise(_name("latin", label, seed, attempt))))
-    return out
+def _name() -> Column:
+    cyrillic = F.col("canon").rlike(r"^\p{IsCyrillic}")
+    either = lambda f: F.when(cyrillic, F.split(F.lit(f("cyrillic")), " ")).otherwise(F.split(F.lit(f("latin")), " "))
+    syllables = either(lambda script: SYLLABLES[script])
+    ending = F.when(F.col("kind") == "name_m", either(lambda s: ENDINGS[s]["m"])).when(F.col("kind") == "name_f", either(lambda s: ENDINGS[s]["f"])).otherwise(either(lambda s: ENDINGS[s]["x"]))
+    return F.concat(*(_pick(syllables, i) for i in (0, 2, 4)), F.when(F.col("attempt") > 1, _pick(syllables, 6)).otherwise(""), _pick(ending, 8))
+
+
+def proposed(entities: DataFrame, key: str) -> DataFrame:
+    """entities(kind, canon, attempt) with new: the surrogate, in canonical form, for an attempt number (from 0).
+
+    Hash, bytes and masked part are columns of their own, so each is computed once a row.
+    """
+    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    seeded = entities.withColumn("seed", F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 256))
+    seeded = seeded.withColumn("bytes", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr("seed", 1 + 2 * i, F.lit(2)), 16, 10).cast("int"))).drop("seed")
+    # What stays in front, and what is masked.
+    front = (
+        F.when(kind == "card", F.substr(canon, F.lit(1), F.lit(1)))
+        .when(kind == "phone", F.regexp_extract(canon, r"^(\+1|\+\d{2}|)", 1))
+        .when((kind == "secret") & canon.startswith("AKIA"), "AKIA")
+        .otherwise("")
+    )
+    part = (
+        F.when(kind == "mail", F.split_part(canon, F.lit("@"), F.lit(1)))
+        .when(kind == "card", F.substr(canon, F.lit(2), F.length(canon) - 2))
+        .otherwise(F.substr(canon, F.length("front") + 1))
+    )
+    parted = seeded.withColumn("front", front).withColumn("part", part)
+    parted = parted.withColumn("mask", _masked(F.col("part"), (kind == "secret") & canon.rlike("^[0-9a-f]+$")))
+    end = F.regexp_extract(canon, r"\.(com|org|net)$", 1)
+    mail = F.concat("mask", F.lit("@mail"), F.pmod(_byte(29), F.lit(100)).cast("string"), F.lit(".example."), F.when(end == "", F.lit("com")).otherwise(end))
+    address = F.concat_ws(".", *(o.cast("string") for o in (F.when(attempt < 8, 240 + F.pmod(_byte(0), F.lit(15))).otherwise(1 + F.pmod(_byte(0), F.lit(223))), _byte(1), _byte(2), _byte(3))))
+    last = F.pmod(10 - luhn(F.concat("front", "mask", F.lit("0"))) + F.when(luhn(canon) == 0, 0).otherwise(1 + F.pmod(_byte(31), F.lit(9))), F.lit(10))
+    area = F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2)))
+    fiction = (F.length("part") == 10) & (attempt < 8) & (F.substr("part", F.lit(4), F.lit(3)) == "555")
+    phone = F.concat("front", F.when(fiction, F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2), F.lit(2)), F.lit("555"), F.substr("mask", F.lit(7)))).otherwise(area))
+    new = F.when(kind == "mail", mail).when(kind == "ip", address).when(kind == "card", F.concat("front", "mask", last.cast("string"))).when(kind == "phone", phone)
+    new = new.when(kind.startswith("name_") & canon.rlike(r"^[\p{IsCyrillic}\p{IsLatin}]"), _name()).otherwise(F.concat("front", "mask"))
+    return parted.withColumn("new", F.when(kind.startswith("name_") | (kind == "mail"), F.lower(new)).otherwise(new)).select(*entities.columns, "new")
 
 
 def kind_of(raw: Column) -> Column:
@@ -160,7 +180,7 @@ def surrogates(spark: SparkSession, entities: DataFrame, key: str, rounds: int =
     kept = None
     left = mine.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        tried = left.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        tried = materialise(spark, proposed(left, key))
         first = tried.groupBy("kind", "new").agg(F.min("canon").alias("owner"))
         checked = tried.join(first, ["kind", "new"]).join(originals, ["kind", "new"], "left")
         if kept is not None:
@@ -184,7 +204,10 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: str, text: str = "te
     """
     body = F.col(f"`{text}`")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("t"))
-    matches = F.when(F.col("t").rlike(HINT), F.regexp_extract_all("t", F.lit(ENTITY), F.lit(0)))
+    hint = F.col("t").rlike(SIGN)
+    for word in HINTS:
+        hint = hint | F.col("t").contains(word)
+    matches = F.when(hint, F.regexp_extract_all("t", F.lit(ENTITY), F.lit(0)))
     some = F.coalesce(F.size(matches) > 0, F.lit(False))
     clean = packed.filter(~some).select("row.*")
     rows = packed.filter(some)
