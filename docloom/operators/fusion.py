@@ -13,7 +13,7 @@ def hydrated(hits: DataFrame, chunks: DataFrame, registry: DataFrame, method: st
     c = chunks.select("chunk_id", "document_id", "heading", "page_start", "page_end", "chunk_text")
     r = registry.select("document_id", "title", "source_url")
     out = hits.join(c, "chunk_id").join(r, "document_id")
-    place = Window.partitionBy("query_id").orderBy("rank")
+    place = Window.partitionBy("query_id").orderBy("retrieval_rank")
     return out.select("query_id", "chunk_id", "document_id", "title", "heading", "source_url", "page_start", "page_end", "chunk_text", F.col("score").alias("retrieval_score"), F.lit(method).alias("retrieval_method"), F.col("rank").alias("retrieval_rank")).withColumn("position", F.row_number().over(place))
 
 
