@@ -21,7 +21,7 @@ def hybrid(spark: SparkSession, queries: DataFrame, query_vectors: DataFrame, do
 
     docs(chunk_id, chunk_text); vectors(vec_id, embedding), vec_id being the chunk's id.
     """
-    found = keyword.search(queries, keyword.counted(docs, ["chunk_text"]), k, {"chunk_text": 1.0})
+    found = keyword.search(queries, keyword.index(docs, ["chunk_text"]), k, {"chunk_text": 1.0})
     near = vector_search.cosine_topk(spark, query_vectors, vectors, k)
     lists = [x.select("query_id", F.col(c).alias("chunk_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("position"), F.col("score").alias("retrieval_score"), F.lit(m).alias("retrieval_method")) for x, c, m in ((found, "id", "keyword"), (near, "vec_id", "semantic"))]
     return fusion.fused(*lists, k)

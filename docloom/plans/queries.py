@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from ..functions.spans import spread
 from ..operators import answers, evaluation, fusion, keyword, metadata, sections, standardise, vector_search
 from ..sources import catalog, files, registry
 from ..streaming.ingest import event_windows
@@ -175,13 +176,13 @@ def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metadata.enrich(corpus(spark, sf_dir), "raw_text")
     lists = [("judge", "judges"), ("statute", "statutes"), ("entity", "legal_entities"), ("keyword", "keywords")]
     named = lambda n: lambda v: F.struct(F.lit(n).alias("field"), v.alias("value"))
-    spread = F.concat(*[F.transform(c, named(n)) for n, c in lists])
-    return rows.select("document_id", F.inline(spread))
+    made = F.concat(*[F.transform(c, named(n)) for n, c in lists])
+    return spread(rows, "document_id", made)
 
 
 @query()
 def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.enrich(corpus(spark, sf_dir), "raw_text").select(F.inline("relationships"))
+    return spread(metadata.enrich(corpus(spark, sf_dir), "raw_text"), "document_id", F.col("relationships")).drop("document_id")
 
 
 @query("SELECT CASE p_partkey % 4 WHEN 0 THEN 'Case Law' WHEN 1 THEN 'Statutory Law' WHEN 2 THEN 'Points of View' ELSE 'Tax Law' END AS legal_domain, count(*) AS n FROM part GROUP BY 1")
@@ -202,12 +203,12 @@ def vocab_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("document_id", F.inline(sections.headings(F.col("raw_text")))).withColumnsRenamed({"start": "position", "end": "end_position"})
+    return spread(corpus(spark, sf_dir), "document_id", sections.headings(F.col("raw_text"))).withColumnsRenamed({"start": "position", "end": "end_position"})
 
 
 @query()
 def section_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sections.sectioned(corpus(spark, sf_dir), "raw_text").select("document_id", F.inline("sections"))
+    rows = spread(sections.sectioned(corpus(spark, sf_dir), "raw_text"), "document_id", F.col("sections"))
     return rows.select("document_id", F.col("start").alias("body_from"), F.col("end").alias("body_to"), "heading", F.array_join("hierarchy", " > ").alias("hierarchy"))
 
 
@@ -274,12 +275,12 @@ _KEYWORD = _bm25("SELECT doc_id AS id, text AS chunk_text FROM documents", "SELE
 
 @query(rf"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_SPLIT.format('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.counted(_docs(spark, sf_dir), ["chunk_text"]).document_frequency.select("term", "df")
+    return keyword.index(_docs(spark, sf_dir), ["chunk_text"]).document_frequency.select("term", "df")
 
 
 @query(_KEYWORD)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.search(_questions(spark, sf_dir), keyword.counted(_docs(spark, sf_dir), ["chunk_text"]), 5, {"chunk_text": 1.0})
+    return keyword.search(_questions(spark, sf_dir), keyword.index(_docs(spark, sf_dir), ["chunk_text"]), 5, {"chunk_text": 1.0})
 
 
 _FIELDS = {"title": 3.0, "source_url": 2.0, "raw_text": 1.0}
@@ -288,7 +289,7 @@ _FIELDS = {"title": 3.0, "source_url": 2.0, "raw_text": 1.0}
 @query(_bm25(f"SELECT document_id AS id, title, source_url, raw_text FROM ({CORPUS})", "SELECT s_suppkey AS query_id, concat('appeal ', p_name) AS text FROM supplier JOIN part ON p_partkey = s_suppkey", _FIELDS, 3))
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("appeal "), "p_name").alias("text"))
-    return keyword.search(asked, keyword.counted(corpus(spark, sf_dir), list(_FIELDS), "document_id"), 3, _FIELDS)
+    return keyword.search(asked, keyword.index(corpus(spark, sf_dir), list(_FIELDS), "document_id"), 3, _FIELDS)
 
 
 @query(
