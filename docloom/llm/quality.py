@@ -15,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import sampled
 from .textscan import U64, mix, pieces, scan
 
 BITS = 16
 BUCKETS = 1 << BITS
 GRADES = 3
 PER_GRADE = 1500
-SALTS = 64
 TAIL = 0.5
 _SYMBOL = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _DIGIT = np.array([48 <= b < 58 for b in range(256)])
@@ -109,9 +109,8 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, graded: DataFrame, per_grade: int = PER_GRADE) -> Model:
     """Fits on at most per_grade documents of each grade of graded(doc_id, grade)."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    dealt = graded.withColumn("r", F.row_number().over(Window.partitionBy("grade", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).orderBy(*order))).filter(F.col("r") <= per_grade)
-    chosen = dealt.withColumn("r", F.row_number().over(Window.partitionBy("grade").orderBy(*order))).filter(F.col("r") <= per_grade).select("doc_id", "grade").collect()
+    # GRADES groups, so their sizes are a bounded broadcast.
+    chosen = sampled(graded.filter(F.col("grade").between(0, GRADES - 1)), "grade", "doc_id", per_grade).select("doc_id", "grade").collect()
     if not chosen:
         return fit([], np.zeros(0, dtype=np.int64))
     # At most GRADES x per_grade rows, so their broadcast is bounded.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lengths, licenses, neardup, packing, pii, quality, topk, urlfilter
+from . import decontam, langid, lengths, licenses, neardup, packing, pii, quality, sql, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    found = urlfilter.judge(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": sql.OP1, "op3_exact_topk": sql.OP3, "op6_url_filter": sql.op6(), "op10_license_scan": sql.op10()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,15 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return now.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node").unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def sampled(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """At most most rows of each group, those with the least hash of key: a bounded sample that doesn't depend on the partitioning.
+
+    Rows are thinned by a hash bound that follows the group's size first, so the ranking of a group sees about twice most rows however many it has.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = rows.join(F.broadcast(sizes), group).filter(share * F.col("_n") <= 2 * most + 100).withColumn("_s", share)
+    order = Window.partitionBy(group).orderBy("_s", F.xxhash64(key), key)
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_n", "_s", "_r")

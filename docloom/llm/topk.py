@@ -3,14 +3,14 @@
 A score is the sum of the partial scores of ``SLICES`` slices of the components; for one query, every slice is a list of partial
 scores over the candidates. Candidates are dealt into shards, queries into blocks; a (shard, block) cell is one task's work, a few integer matrix products.
 
-1. Every cell gives, per query, each slice's least partial score and its local best candidates with the partial scores that the lists show. From
-   these, lower bounds (unseen scores at their list's least) and the query's first cutoff, the k-th best bound.
-2. The cutoff goes back to every cell. A candidate that reaches it must show, above the least, at least an equal share of it in some
-   list; entries at or above that share are taken, and candidates whose upper bound (missing scores at the share) reaches the cutoff are collected. The k-th best of
-   their lower bounds is the second cutoff; what can't reach it goes.
-3. The exact scores of those left are computed from the vectors, and ranked.
-
-Nothing is lost: bounds are safe, comparisons are inclusive, and ties are broken by id only among exact scores. All sums are integers below 2**53, so exact in double precision.
+1. Every cell looks at each slice's local best candidates (the head of each score list), completes their scores, and gives the k best of them for
+   each query. The k-th best over all cells is the query's cutoff: k candidates reach it, so it is safe.
+2. The cutoff goes back to every cell. A candidate that reaches it must show, above its lists' least partial scores, at least an equal share of what the cutoff
+   leaves in some list; entries at or above that share are collected, all others are out.
+3. The remaining slices of those collected are added up exactly. What reaches the cutoff goes on, at most the k best of a cell (a cell's others
+   cannot be among the k best of all, so nothing is lost, and very many equal vectors cost no more than others), and is ranked.
+
+Comparisons are inclusive, and ties are broken by id only among exact scores. All sums are integers below 2**53, so exact in double precision.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ SHARD, BLOCK = 4096, 1024
 
 
 def quantised(v: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component x as double; null if the vector is null or has a null or non-finite component."""
-    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    """floor(scale * x) of each component x as double; null if the vector is null, empty or has a null or non-finite component."""
+    sound = (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     return F.when(sound, F.transform(v, lambda x: F.floor(x.cast("double") * scale)))
 
 
@@ -43,10 +43,6 @@ def _partials(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
     return [q[:, a:b] @ c[:, a:b].T for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _best(x: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(x, len(x) - k)[-k:] if len(x) > k else np.arange(len(x))
-
-
 def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int, slices: int = SLICES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of the k best candidates of each query; all, if there are fewer.
 
@@ -61,58 +57,54 @@ def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: in
     left = queries.select("query_id", F.col("v").alias("v"), number("query_id", blocks).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     right = candidates.select("vec_id", F.col("v").alias("v"), number("vec_id", shards).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
+    shape, answer = "query_id bigint, vec_id bigint, score bigint", pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def sides(q: pa.Table, c: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Query ids, candidate ids in order, and the partial scores of each slice (queries x candidates)."""
+        c = c.sort_by("vec_id")
+        return q.column("query_id").to_numpy(), c.column("vec_id").to_numpy(), _partials(_matrix(q), _matrix(c), slices)
+
     def gather(q: pa.Table, c: pa.Table) -> pa.Table:
-        ids, names = q.column("query_id").to_pylist(), c.column("vec_id").to_numpy()
-        out: dict[str, list] = {"query_id": [], "least": [], "vec_id": [], "seen": []}
-        if q.num_rows and c.num_rows:
-            parts = _partials(_matrix(q), _matrix(c), slices)
-            for i, query in enumerate(ids):
-                tops = [set(_best(p[i], k + 1).tolist()) for p in parts]
-                for j in sorted(set().union(*tops)):
-                    out["query_id"].append(query)
-                    out["least"].append([int(p[i].min()) for p in parts])
-                    out["vec_id"].append(int(names[j]))
-                    out["seen"].append([int(p[i, j]) if j in t else None for p, t in zip(parts, tops, strict=True)])
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("least", pa.list_(pa.int64())), ("vec_id", pa.int64()), ("seen", pa.list_(pa.int64()))]))
+        if not q.num_rows or not c.num_rows or k < 1:
+            return answer.empty_table()
+        ids, names, parts = sides(q, c)
+        head = min(k + 1, len(names))
+        listed = np.sort(np.concatenate([np.argpartition(p, len(names) - head, axis=1)[:, len(names) - head :] for p in parts], axis=1), axis=1)
+        total = sum(np.take_along_axis(p, listed, axis=1) for p in parts)
+        total[:, 1:][listed[:, 1:] == listed[:, :-1]] = -np.inf
+        total[names[listed] == ids[:, None]] = -np.inf
+        top = np.argsort(-total, axis=1, kind="stable")[:, :k]
+        score, near = np.take_along_axis(total, top, axis=1), names[np.take_along_axis(listed, top, axis=1)]
+        real = np.isfinite(score)
+        return pa.table([np.repeat(ids, real.sum(axis=1)), near[real], score[real].astype(np.int64)], schema=answer)
 
     cells = ["shard", "block"]
-    first = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(gather, "query_id bigint, least array<bigint>, vec_id bigint, seen array<bigint>")
-    floor = first.groupBy("query_id").agg(*[F.min(F.element_at("least", b + 1)).alias(f"m{b}") for b in range(slices)]).select("query_id", F.array(*[f"m{b}" for b in range(slices)]).alias("floor"))
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    bound = F.aggregate(F.zip_with("seen", "floor", lambda s, m: F.coalesce(s, m)), zero, add)
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
-    ranked = first.join(floor, "query_id").filter(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "floor", bound.alias("bound")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    first = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(gather, shape)
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k)
     # Fewer than k candidates seen: no cutoff, everything is collected.
-    cutoff = ranked.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("bound")).alias("cutoff"), F.first("floor").alias("floor"))
-    informed = left.join(materialise(spark, cutoff), "query_id")
+    cutoff = materialise(spark, ranked.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("cutoff")))
+    informed = left.join(cutoff, "query_id", "left")
 
     def collect(q: pa.Table, c: pa.Table) -> pa.Table:
-        ids, names = q.column("query_id").to_pylist(), c.column("vec_id").to_numpy()
-        rows: list[tuple[list, ...]] = []
-        if q.num_rows and c.num_rows:
-            parts = _partials(_matrix(q), _matrix(c), slices)
-            for i, (query, cut, least) in enumerate(zip(ids, q.column("cutoff").to_pylist(), q.column("floor").to_pylist(), strict=True)):
-                total = sum(least)
-                share = -1.0 if cut is None else (cut - total) / slices
-                low, high, some = np.full(len(names), float(total)), np.full(len(names), total + slices * max(share, 0.0)), np.zeros(len(names), dtype=bool)
-                for p, m in zip(parts, least, strict=True):
-                    above = p[i] - m
-                    entry = above >= share
-                    some |= entry
-                    low += np.where(entry, above, 0)
-                    high += np.where(entry, above - max(share, 0.0), 0)
-                near = some & ((high >= cut - 1e-6) if cut is not None else True) & (names != query)
-                for j in np.flatnonzero(near):
-                    rows.append((query, int(names[j]), int(low[j]), float(high[j])))
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.table(dict(zip(("query_id", "vec_id", "low", "high"), map(list, columns), strict=True)), schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.int64()), ("high", pa.float64())]))
-
-    found = materialise(spark, informed.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(collect, "query_id bigint, vec_id bigint, low bigint, high double"))
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
-    second = found.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("low")).alias("second"))
-    near = found.join(second, "query_id").filter(F.col("second").isNull() | (F.col("high") >= F.col("second") - 1e-6)).select("query_id", "vec_id").distinct()
-    exact = near.join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(candidates.select("vec_id", F.col("v").alias("cv")), "vec_id")
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a.cast("long") * b.cast("long")), zero, add)
+        if not q.num_rows or not c.num_rows or k < 1:
+            return answer.empty_table()
+        ids, names, parts = sides(q, c)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, (query, cut) in enumerate(zip(ids, q.column("cutoff").to_pylist(), strict=True)):
+            if cut is None:
+                near = np.arange(len(names))
+            else:
+                least = [p[i].min() for p in parts]
+                share = (cut - sum(least)) / slices
+                near = np.flatnonzero(np.logical_or.reduce([p[i] - m >= share - 1e-6 for p, m in zip(parts, least, strict=True)]))
+            near = near[names[near] != query]
+            score = sum(p[i][near] for p in parts).astype(np.int64)
+            if cut is not None:
+                near, score = near[score >= cut], score[score >= cut]
+            top = np.argsort(-score, kind="stable")[:k]
+            out.append((names[near[top]], score[top]))
+        return pa.table([np.repeat(ids, [len(n) for n, _ in out]), np.concatenate([n for n, _ in out]), np.concatenate([x for _, x in out])], schema=answer)
+
+    found = informed.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(collect, shape)
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.select("query_id", "vec_id", dot.alias("score")).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
