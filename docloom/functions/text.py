@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Phrases that go straight to general chat.
 GREETINGS = ["hi", "hello", "hey", "good morning", "good afternoon", "good evening", "thanks", "thank you", "bye", "goodbye", "see you", "how are you", "how are you?", "who are you", "who are you?", "what can you do", "what can you do?"]
@@ -24,7 +25,7 @@ ERROR_TITLE = "Unable to generate a response."
 ERROR_OTHER = ("An unexpected error occurred.", "Please try again or choose a different query.")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
