@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, lengths, licenses, neardup, packing, pii, quality, queries, topk, urlfilter
+from docloom.llm import decontam, langid, lengths, licenses, neardup, packing, pii, quality, queries, shared, topk, urlfilter
 
 from ..conftest import SF
 
@@ -256,3 +256,23 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i + 1, i) for i in range(300, 330)] + [(500, i) for i in range(501, 700)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    for part in (edges, edges[-199:], []):
+        nodes = {n for a, b in part for n in (a, b) if a != b}
+        found = shared.components(spark, spark.createDataFrame(part, "a long, b long")).collect()
+        assert len(found) == len(nodes) and {r.node: r.root for r in found} == {n: find(n) for n in nodes}
