@@ -27,7 +27,15 @@ SECRET = r"AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|[0-9a-f]{40}(?![\p{L}\p{N}])|(?<=[=:
 IPV4 = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\p{L}\p{N}])"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\p{L}\p{N}])|\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])"
+# No group of a phone begins an address, nor, where the plan isn't known, a social security number or a card.
+ADDRESS = r"(?!(?:\d{1,3}\.){3}\d)"
+OTHER = ADDRESS + r"(?!\d{3}-\d{2}-\d{4}(?!\d)|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![ -]?\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|\d{13})"
+# Digits of a full national number by country codes; a phone ends there, so a number after a blank is not part of it.
+PLANS = {10: "1|7|30|44|52|90|91", 9: "31|33|34|40|41|46|48|61|351|380|420", 8: "45|47|65|852"}
+NATIONAL = r"\+(?:" + "|".join(rf"(?:{codes})(?:[ .-]?\(0\))?(?:(?:(?:[ .-]|[ .-]?[()][ .-]?){ADDRESS})?\d){{{n}}}" for n, codes in PLANS.items()) + r")(?![\p{L}\p{N}])"
+# Other plans: no group over a blank after five digits in a row or eleven in all; not ending inside a dotted or longer number, if it can be.
+GROUPS = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:(?:(?:[.-]|(?<!\d{5})(?<!" + r"\d[ .()-]{0,2}" * 10 + r"\d) )" + OTHER + r")?\d{2,4}){1,%d}(?![\p{L}\p{N}]%s)"
+PHONE = NATIONAL + "|" + GROUPS % (4, r"|[.-]\d") + "|" + GROUPS % (3, "") + r"|\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])"
 NAME = "(?:" + "|".join(TITLES_M + TITLES_F) + r")\.?(?: \p{Lu}[\p{L}'-]++(?!\p{N})){1,3}"
 ENTITY = START + "(?:" + "|".join((MAIL, SECRET, IPV4, SSN, CARD, PHONE, NAME)) + ")"
 #: A text without any of these has no entity: mail sign, digits, secrets' words and titles all hold one.
