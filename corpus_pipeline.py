@@ -41,7 +41,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
-    return packing.pack(docs)
+    return packing.pack_encoded(spark, docs)
 
 
 STAGES = [

@@ -33,8 +33,8 @@ def encoder(raw: bytes):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encoded_lengths(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row of docs(doc_id, text); null and empty texts have 0 tokens, repeated rows repeat."""
+def encoded_lengths(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens) and the columns keep of every row of docs(doc_id, text); null and empty texts have 0 tokens, repeated rows repeat."""
     if os.path.getsize(vocabulary) > MOST_VOCABULARY_BYTES:
         raise ValueError("the vocabulary file is too large to send to executors")
     with open(vocabulary, "rb") as f:
@@ -44,10 +44,10 @@ def encoded_lengths(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCA
         encode = encoder(raw.value).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in (v.as_py() for v in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *batch.columns[2:]], ["doc_id", "n_tokens", *keep])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
+    kind = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *keep)}
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {kind['doc_id']}, n_tokens bigint" + "".join(f", {c} {kind[c]}" for c in keep))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

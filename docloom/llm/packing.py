@@ -16,9 +16,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lengths import encoded_lengths
+from .shared import materialise
+
 CAPACITY = 2048
 SHARD_ITEMS = 4096
 
@@ -68,7 +71,7 @@ def pack_shard(length: list[int], source: list[str | None], cluster: list[str |
 
 
 def n_tokens(text: F.Column) -> F.Column:
-    """The default length: runs of letters and digits, and every other visible character, count one each."""
+    """A length without a vocabulary, not that of an encoded text: runs of letters and digits, and every other visible character, count one each."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]")), F.lit(0)).cast("long")
 
 
@@ -76,7 +79,7 @@ def pack(docs: DataFrame, length: F.Column | None = None, source: F.Column | Non
     """doc_id, piece, start, n_tokens, bin_id (shard:number), offset: where each piece of docs(doc_id, text, source) goes.
 
     A text without tokens (null, empty) is one piece of 0 tokens with bin and offset null. A null source or cluster conflicts with
-    nothing. By default the length is n_tokens(text) and the cluster a hash of the text. Repeated rows are separate items. An empty table gives no rows.
+    nothing. Without a length it is n_tokens(text), which is not what a model reads; pack_encoded packs encoded lengths. By default the cluster is a hash of the text. Repeated rows are separate items. An empty table gives no rows.
     """
     text = F.col("text")
     rows = docs.select(
@@ -105,3 +108,10 @@ def pack(docs: DataFrame, length: F.Column | None = None, source: F.Column | Non
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bin_id string, offset bigint")
+
+
+def pack_encoded(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """pack() by the encoded length of every whole text; every text is encoded once. start, n_tokens and offset count encoded tokens."""
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster"))
+    known = materialise(spark, encoded_lengths(spark, rows, keep=("source", "cluster")))
+    return pack(known, F.col("n_tokens"), F.col("source"), F.col("cluster"), capacity, shard_items)

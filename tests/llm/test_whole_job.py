@@ -1,11 +1,13 @@
 """Cases that an earlier version cut short."""
 
 import re
+from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import pii
+from docloom.llm import lengths, packing, pii, queries
+
+from ..conftest import SF
 
 
 def entities(spark, texts):
@@ -23,3 +25,24 @@ def test_phone_ends_before_the_next_number(spark):
     out = pii.pseudonymise(spark, spark.createDataFrame([(0, "at +1 (826) 555-4081 190.137.22.33"), (1, "at +1 (826) 555-4081 2019")], "doc_id long, text string"), "k")
     a, b = (r.text for r in out.orderBy("doc_id").collect())
     assert re.sub(r"\S+$", "", a) == re.sub(r"\S+$", "", b) and b.endswith(" 2019") and "137.22.33" not in a
+
+
+def test_packing_by_encoded_length(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.n_tokens for r in lengths.encoded_lengths(spark, docs).collect()}
+    for found in (queries.op7_best_fit_packing(spark, SF), corpus_pipeline.best_fit_packing(spark, docs, SF)):
+        got, bins = Counter(), {}
+        for r in found.collect():
+            got[r.doc_id] += r.n_tokens
+            if r.bin_id is not None:
+                bins.setdefault(r.bin_id, []).append((r.offset, r.offset + r.n_tokens))
+        assert got == Counter(want)
+        for spans in bins.values():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] <= packing.CAPACITY and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    run = spark.createDataFrame([(1, "中文字符" * 2000, "a"), (2, None, "a"), (2, None, "a"), (3, "", None)], "doc_id long, text string, source string")
+    pieces = packing.pack_encoded(spark, run).collect()
+    assert sum(r.doc_id == 1 for r in pieces) > 1 and [r.bin_id for r in pieces if r.doc_id != 1] == [None] * 3
+    assert packing.pack_encoded(spark, run.filter("false")).count() == 0
