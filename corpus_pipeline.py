@@ -40,7 +40,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes; near copies are gone by now, so equal texts are the only clusters."""
     return packing.pack_encoded(spark, docs)
 
 

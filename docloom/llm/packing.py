@@ -110,8 +110,17 @@ def pack(docs: DataFrame, length: F.Column | None = None, source: F.Column | Non
     return dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bin_id string, offset bigint")
 
 
-def pack_encoded(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """pack() by the encoded length of every whole text; every text is encoded once. start, n_tokens and offset count encoded tokens."""
-    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster"))
-    known = materialise(spark, encoded_lengths(spark, rows, keep=("source", "cluster")))
-    return pack(known, F.col("n_tokens"), F.col("source"), F.col("cluster"), capacity, shard_items)
+def pack_encoded(spark: SparkSession, docs: DataFrame, clusters: DataFrame | None = None, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """pack() by the encoded length of every whole text; every text is encoded once. start, n_tokens and offset count encoded tokens.
+
+    clusters(doc_id, xh, class_id) are near-duplicate classes as neardup.classes gives them. Without them a cluster is only equal texts, which
+    is enough where docs are deduplicated already. Texts without words and rows of a null doc_id keep the text's hash.
+    """
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("xh"), F.col("text").rlike(r"[A-Za-z0-9]|[^\x00-\x7F]").alias("worded"))
+    known = materialise(spark, encoded_lengths(spark, rows, keep=("source", "xh", "worded")))
+    cluster = F.col("xh").cast("string")
+    if clusters is not None:
+        named = clusters.filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), F.col("class_id").cast("string").alias("class")).distinct()
+        known = materialise(spark, known.join(named, (F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x")), "left").drop("d", "x"))
+        cluster = F.coalesce(F.when(F.col("worded"), F.concat(F.lit("class "), "class")), cluster)
+    return pack(known, F.col("n_tokens"), F.col("source"), cluster, capacity, shard_items)

@@ -47,7 +47,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_encoded(spark, _table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack_encoded(spark, docs, neardup.classes(spark, docs))
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,15 @@ def test_packing_by_encoded_length(spark):
     pieces = packing.pack_encoded(spark, run).collect()
     assert sum(r.doc_id == 1 for r in pieces) > 1 and [r.bin_id for r in pieces if r.doc_id != 1] == [None] * 3
     assert packing.pack_encoded(spark, run.filter("false")).count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:50] + [f"x{i}"] + base[51:]), f"s{i}") for i in range(6)] + [(6, " ".join(base).upper() + "!", "s6"), (7, "other words here", "s7")]
+    rows = [*rows, *[(20 + i, " ".join(f"v{i}{j}" for j in range(40)), f"t{i}") for i in range(6)], (30, None, "a"), (31, "", "b"), (None, "some text of its own", "c"), (40, "?!?!", "y"), (41, "?!?!", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op7_best_fit_packing(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    assert len({r.bin_id for r in found if r.doc_id is not None and r.doc_id < 7}) == 7
+    assert len({r.bin_id for r in found if r.doc_id in (40, 41)}) == 2
+    assert len({r.bin_id for r in found if r.bin_id is not None}) == 7
