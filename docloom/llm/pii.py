@@ -53,6 +53,8 @@ ALPHABETS = [
     (0x4E00, 0x9FFF, "安白成大方高国海和金开林明南平青山石文新"),
 ]
 SYLLABLES = {"latin": "ba be bo da de do fa ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va", "cyrillic": "ба бе бо ва да де до за ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то фа ша ха"}
+#: Attempts from which surrogates of small spaces grow longer than their originals.
+LONGER = 4
 ENDINGS = {"latin": {"m": "n r s l", "f": "na ra la ia", "x": "man ford ley well"}, "cyrillic": {"m": "н р с л", "f": "на ра ла ия", "x": "ко дзе их ук"}}
 
 
@@ -101,6 +103,12 @@ def _name() -> Column:
     return F.concat(*(_pick(syllables, i) for i in (0, 2, 4)), F.when(F.col("attempt") > 1, _pick(syllables, 6)).otherwise(""), _pick(ending, 8))
 
 
+def _longer(letters: str, since: int) -> Column:
+    """From attempt since on, as many further letters as attempts since then: the space of surrogates grows tenfold or more a round."""
+    more = lambda i: F.substr(F.lit(letters), F.pmod(_byte(i * 5 + 3) + _byte(i + 17), F.lit(len(letters))) + 1, F.lit(1))
+    return F.when(F.col("attempt") >= since, F.array_join(F.transform(F.sequence(F.lit(since), F.col("attempt")), more), "")).otherwise("")
+
+
 def proposed(entities: DataFrame, key: str) -> DataFrame:
     """entities(kind, canon, attempt) with new: the surrogate, in canonical form, for an attempt number (from 0).
 
@@ -124,7 +132,7 @@ def proposed(entities: DataFrame, key: str) -> DataFrame:
     parted = seeded.withColumn("front", front).withColumn("part", part)
     parted = parted.withColumn("mask", _masked(F.col("part"), (kind == "secret") & canon.rlike("^[0-9a-f]+$")))
     end = F.regexp_extract(canon, r"\.(com|org|net)$", 1)
-    mail = F.concat("mask", F.lit("@mail"), F.pmod(_byte(29), F.lit(100)).cast("string"), F.lit(".example."), F.when(end == "", F.lit("com")).otherwise(end))
+    mail = F.concat("mask", F.lit("@mail"), F.pmod(_byte(29), F.lit(100)).cast("string"), _longer("0123456789", 1), F.lit(".example."), F.when(end == "", F.lit("com")).otherwise(end))
     address = F.concat_ws(".", *(o.cast("string") for o in (F.when(attempt < 8, 240 + F.pmod(_byte(0), F.lit(15))).otherwise(1 + F.pmod(_byte(0), F.lit(223))), _byte(1), _byte(2), _byte(3))))
     last = F.pmod(10 - luhn(F.concat("front", "mask", F.lit("0"))) + F.when(luhn(canon) == 0, 0).otherwise(1 + F.pmod(_byte(31), F.lit(9))), F.lit(10))
     area = F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2)))
@@ -132,6 +140,9 @@ def proposed(entities: DataFrame, key: str) -> DataFrame:
     phone = F.concat("front", F.when(fiction, F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2), F.lit(2)), F.lit("555"), F.substr("mask", F.lit(7)))).otherwise(area))
     new = F.when(kind == "mail", mail).when(kind == "ip", address).when(kind == "card", F.concat("front", "mask", last.cast("string"))).when(kind == "phone", phone)
     new = new.when(kind.startswith("name_") & canon.rlike(r"^[\p{IsCyrillic}\p{IsLatin}]"), _name()).otherwise(F.concat("front", "mask"))
+    # Cards keep their length (their space is large), addresses theirs.
+    name_more = F.when(canon.rlike(r"^\p{IsCyrillic}"), _longer(ALPHABETS[3][2], LONGER)).otherwise(_longer(ALPHABETS[0][2], LONGER))
+    new = F.when(kind.isin("phone", "ssn", "secret"), F.concat(new, _longer("0123456789", LONGER))).when(kind.startswith("name_"), F.concat(new, name_more)).otherwise(new)
     return parted.withColumn("new", F.when(kind.startswith("name_") | (kind == "mail"), F.lower(new)).otherwise(new)).select(*entities.columns, "new")
 
 
@@ -173,7 +184,7 @@ def formatted(kind: Column, raw: Column, new: Column) -> Column:
         digit = c.rlike("^[0-9+]$")
         return F.struct(F.concat(acc["t"], F.when(digit, F.substr(new, acc["i"], F.lit(1))).otherwise(c)).alias("t"), (acc["i"] + F.when(digit, 1).otherwise(0)).alias("i"))
 
-    spaced = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), put, lambda acc: acc["t"])
+    spaced = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), put, lambda acc: F.concat(acc["t"], F.substr(new, acc["i"])))
     name = F.when(F.length(raw) > 1, F.when(F.upper(raw) == raw, F.upper(new)).otherwise(F.initcap(new))).otherwise(F.upper(new))
     return F.when(kind.isin("phone", "card"), spaced).when(kind.startswith("name_"), name).when((kind == "mail") & (F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(new)).otherwise(new)
 
@@ -181,7 +192,8 @@ def formatted(kind: Column, raw: Column, new: Column) -> Column:
 def surrogates(spark: SparkSession, entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """(kind, canon, new) of distinct entities(kind, canon); new is distinct within a kind and equals no original of it.
 
-    Raises RuntimeError if collisions remain after the given rounds (the formats' space is exhausted).
+    Mail domains grow with the attempt, short phones, numbers, secrets and names from attempt LONGER on, so their space is not exhausted. Raises
+    RuntimeError if collisions remain after the given rounds: only cards and addresses have a fixed space.
     """
     mine = materialise(spark, entities.distinct())
     originals = mine.select("kind", F.col("canon").alias("new"), F.lit(True).alias("taken"))

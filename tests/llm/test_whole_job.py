@@ -58,3 +58,13 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     assert len({r.bin_id for r in found if r.doc_id is not None and r.doc_id < 7}) == 7
     assert len({r.bin_id for r in found if r.doc_id in (40, 41)}) == 2
     assert len({r.bin_id for r in found if r.bin_id is not None}) == 7
+
+
+def test_small_spaces_of_surrogates(spark):
+    mails = [("mail", f"{'jahi'[i % 4]}@host{i}.com") for i in range(3500)]
+    phones = [("phone", f"+12{i:04d}") for i in range(10000)]
+    entities = spark.createDataFrame([*mails, *phones, ("secret", "--------")], "kind string, canon string")
+    got = [(r.kind, r.new, r.canon) for r in pii.surrogates(spark, entities, "k").collect()]
+    assert len(got) == len({g[:2] for g in got}) == 13501 and not {g[1] for g in got} & {g[2] for g in got}
+    shown = spark.createDataFrame([("+12 34 56", "+12789012")], "raw string, new string").select(pii.formatted(F.lit("phone"), F.col("raw"), F.col("new")).alias("t")).first()
+    assert shown.t == "+12 78 9012"
