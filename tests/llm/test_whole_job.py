@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docloom.llm import lengths, packing, pii, queries
+from docloom.plans import queries as library
 
 from ..conftest import SF
 
@@ -68,3 +69,9 @@ def test_small_spaces_of_surrogates(spark):
     assert len(got) == len({g[:2] for g in got}) == 13501 and not {g[1] for g in got} & {g[2] for g in got}
     shown = spark.createDataFrame([("+12 34 56", "+12789012")], "raw string, new string").select(pii.formatted(F.lit("phone"), F.col("raw"), F.col("new")).alias("t")).first()
     assert shown.t == "+12 78 9012"
+
+
+def test_every_hit_is_hydrated(spark):
+    hits = {(r.query_id, r.id) for r in library.bm25_topk(spark, SF).collect()}
+    assert {(r.query_id, r.chunk_id) for r in library._cited(spark, SF).select("query_id", "chunk_id").collect()} == hits
+    assert len(hits) > library.hydrate_gaps(spark, SF).count() > 0
