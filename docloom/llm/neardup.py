@@ -11,11 +11,19 @@ weight only adds points, and a component's earliest point is the same in two doc
 weighted Jaccard similarity. Points are made in order of time only up to a bound that leaves hardly a component empty (documents with an
 empty component are done again with twice the bound), so the work per document is about m log m beside one draw per shingle.
 
-Spark plan: documents with equal words are one text from the start (partial aggregation, so any number of exact copies is
-cheap). Every text is linked, per band, to the least text of its bucket, the link is verified on the whole texts, and components are
-found. Buckets that still hold several components go on: each round compares their rows with another leader each, until the
-pairs across components are few or a round gains next to nothing; then all of these, sizes and signatures allowing, are verified. Pairs within a component need no comparison, so no link
-that could join classes is lost, no bucket is capped, and a bucket of near copies costs its size a few times, not its square.
+Candidates are texts that share a bucket (a band of the signature); no bucket is capped. Documents with equal words are one text from the
+start (partial aggregation, so any number of exact copies is cheap). The links of a bucket are found in three passes, each at most
+a few verifications a text, and never all pairs of a bucket:
+
+1. Every text meets the leaders of its buckets and is verified against the one whose sketch agrees best.
+2. Texts now carry the name of their component. In every bucket with several components each text meets ``LEADERS`` leaders
+   chosen by a hash; of all pairs between two components the best by sketch, from either half of the leaders, are verified.
+3. What is left is decided exactly. Texts of buckets that still hold several components list the rarest of their shingles (``prefixes``): two
+   texts reach the similarity only if they share one at places that leave room for the overlap. Pairs across components that
+   meet in such a shingle, in places, sizes and sketches that allow the similarity, are all verified.
+
+Pairs within a component need no comparison, so no link that could join classes is lost. In the third pass a shingle's
+largest component is only met by the others' texts, so its cost is the number of stragglers, not the square of the group.
 """
 
 from __future__ import annotations
@@ -33,11 +41,14 @@ from .textscan import U64, kgrams, mix, pieces, scan, within
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-#: One bit of each signature component, in 64-bit columns. Pairs whose bits estimate a similarity below SKETCH_LEAST (over five standard deviations below SIMILARITY) are not verified.
-SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 64)]
-SKETCH_LEAST = 0.55
-#: All pairs of a bucket that lie in different components are verified at once when they are at most FEW times its rows, or after ROUNDS - 1 rounds of leaders.
-FEW, ROUNDS = 4, 12
+#: Two bits of each signature component as two planes of 64-bit columns. Pairs whose bits estimate a similarity below SKETCH_LEAST (over five standard deviations below SIMILARITY) are not verified.
+PLANE = BANDS * ROWS // 64
+SKETCH = [f"s{i}" for i in range(2 * PLANE)]
+SKETCH_LEAST = 0.62
+#: Leaders of a bucket in the second pass.
+LEADERS = 4
+#: Cells of the counts by which shingles are ordered, from rare to frequent. Any order gives the same links; collisions only cost time.
+CELLS = 1 << 20
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -132,7 +143,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = b - a
             sig = signatures(doc, item, count, n)
             key = bands(sig).view(np.int64)
-            sketch = np.packbits((sig & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+            sketch = np.hstack([np.packbits(((sig >> U64(p)) & U64(1)).astype(np.uint8), axis=1).view(np.int64) for p in (0, 1)])
             size = np.diff(words.first)
             position = np.arange(len(h)) - np.repeat(words.first[:-1], size)
             identity = np.zeros((n, 2), dtype=U64)
@@ -176,16 +187,116 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
+def _linked(spark: SparkSession, pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, by their whole texts. A text with very many pairs is a skewed key, which Spark splits."""
     left = content.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     right = content.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
+    return materialise(spark, pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"))
+
+
+def _differ() -> Column:
+    """Signature components whose two bits differ."""
+    planes = [[F.col(f"s{i + p * PLANE}").bitwiseXOR(F.col(f"s{i + p * PLANE}2")) for p in (0, 1)] for i in range(PLANE)]
+    return sum((F.bit_count(x.bitwiseOR(y)) for x, y in planes), F.lit(0))
 
 
 def _close() -> Column:
     """Sizes and sketches that allow the similarity."""
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))
-    return (F.least("size", "size2") >= SIMILARITY * F.greatest("size", "size2") - 1e-9) & (differ <= int(32 * len(SKETCH) * (1 - SKETCH_LEAST)))
+    most = int(BANDS * ROWS * (1 - (1 + 3 * SKETCH_LEAST) / 4))
+    return (F.least("size", "size2") >= SIMILARITY * F.greatest("size", "size2") - 1e-9) & (_differ() <= most)
+
+
+def _second(frame: DataFrame, columns: list[str]) -> DataFrame:
+    return frame.select(*[F.col(c).alias(f"{c}2") for c in columns])
+
+
+def _mixed(entries: DataFrame, found: DataFrame, extra: list[Column]) -> DataFrame:
+    """entries with their component's root, of buckets with several components; extra are aggregates of the bucket."""
+    placed = entries.join(found, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid")).drop("node")
+    name = F.xxhash64("root")
+    mixed = placed.groupBy("bucket").agg(F.min(name).alias("r0"), F.max(name).alias("r1"), *extra).filter("r0 <> r1").drop("r0", "r1")
+    return placed.join(mixed, "bucket")
+
+
+def _tokens(item: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrence's number: the multiset as a set."""
+    token = np.repeat(item, count)
+    turn = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+    return np.where(turn > 0, mix(token + U64(_GOLDEN) * turn.astype(U64)), token)
+
+
+def _texts_tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, tokens) of every text."""
+    for a, b, body, offsets in pieces(column):
+        words = scan(body, offsets)
+        doc, item, count = shingles(words.hashes(), words.first)
+        at = np.searchsorted(doc, np.arange(b - a + 1))
+        for i in range(b - a):
+            yield a + i, _tokens(item[at[i] : at[i + 1]], count[at[i] : at[i + 1]])
+
+
+def _cell(token: np.ndarray) -> np.ndarray:
+    return (token >> U64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        for _, token in _texts_tokens(batch.column("text")):
+            np.add.at(total, _cell(token), 1)
+    some = np.flatnonzero(total)
+    for a in range(0, len(some), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(some[a : a + (1 << 16)].astype(np.int32)), pa.array(total[some[a : a + (1 << 16)]])], ["cell", "n"])
+
+
+def prefixes(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """(tid, token, place) of the rarest tokens of texts(tid, text): so many that two texts of the similarity share one.
+
+    Tokens are ordered by how often their cell occurs in all these texts, then by hash. Of a text of n tokens the first n - ceil(SIMILARITY n) + 1
+    are listed, but for those that no other text can hold. The counts are CELLS numbers, whatever the input.
+    """
+    table = texts.select("text").mapInArrow(_count_cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    # The order needs no more than the logarithm in sixteenths; 0 stands for a single occurrence.
+    rank = np.zeros(CELLS, dtype=np.uint16)
+    rank[table.column("cell").to_numpy()] = np.round(16 * np.log2(table.column("n").to_numpy())).astype(np.uint16)
+    shared = spark.sparkContext.broadcast(rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            rows, tokens, places = [], [], []
+            for i, token in _texts_tokens(batch.column("text")):
+                often = order[_cell(token)]
+                first = np.lexsort((token, often))[: len(token) - int(np.ceil(SIMILARITY * len(token) - 1e-9)) + 1]
+                place = np.flatnonzero(often[first] > 0)
+                rows.append(np.full(len(place), i))
+                tokens.append(token[first[place]])
+                places.append(place)
+            if rows:
+                row = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["tid", "token", "place"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid binary, token bigint, place int")
+
+
+def _stragglers(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components of keys(token, place, tid, root, size, sketch) that may reach the similarity; none is left out."""
+    counted = keys.groupBy("token", "root").agg(F.count("*").alias("n"))
+    most = counted.groupBy("token").agg(F.max_by("root", "n").alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("token", "top")
+    columns = ["tid", "root", "place", "size", *SKETCH]
+    mixed = keys.join(most, "token")
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("size2")) - 1e-9)
+    room = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) >= need
+    other = mixed.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+    met = mixed.filter("root <> top").join(other, "token").filter((F.col("root") != F.col("root2")) & room & _close())
+    return met.select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).distinct()
+
+
+def _at_roots(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of texts as pairs of their components' roots."""
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    return pairs
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -197,48 +308,46 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("xh"), "text")
     signed = materialise(spark, rows.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, tid binary, size bigint, {', '.join(f'{c} bigint' for c in SKETCH)}, bands array<bigint>"))
-    worded = signed.filter(F.col("tid").isNotNull())
-    texts = materialise(spark, worded.groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), *[F.first(c).alias(c) for c in ("size", *SKETCH)]))
-    entries = worded.groupBy("tid").agg(F.first("bands").alias("bands")).select("tid", F.explode("bands").alias("bucket"))
-    leader = entries.groupBy("bucket").agg(F.min("tid").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(spark, entries.join(leader.select("bucket", "lead"), "bucket").join(texts.select("tid", "size", *SKETCH), "tid"))
-    first = texts.select(F.col("tid").alias("lead"), *[F.col(c).alias(f"{c}2") for c in ("size", *SKETCH)])
-    star = shared.filter("tid <> lead").select("tid", "lead", "size", *SKETCH).distinct().join(first, "lead").filter(_close()).select(F.col("lead").alias("a"), F.col("tid").alias("b"))
+    own = ["size", *SKETCH]
+    texts = materialise(spark, signed.filter(F.col("tid").isNotNull()).groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), *[F.first(c).alias(c) for c in (*own, "bands")]))
+    entries = texts.select("tid", F.explode("bands").alias("bucket"))
+    least = F.xxhash64("tid")
+    leader = entries.groupBy("bucket").agg(F.min(least).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
+    shared = materialise(spark, entries.join(leader, "bucket").join(texts.select("tid", *own), "tid"))
     needed = shared.select("tid").distinct().join(texts.select("tid", "rep.doc_id", "rep.xh"), "tid")
     source = rows.select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), "text")
     content = materialise(spark, needed.join(source, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))).groupBy("tid").agg(F.first("text").alias("text")))
-    links = materialise(spark, _linked(star, content))
-    gained = links.count()
-    found = components(spark, links)
-    mine = ["tid", "size", *SKETCH]
-    rest = shared.select("bucket", *mine)
-    for turn in range(1, ROUNDS + 1):
-        placed = rest.join(found, F.col("tid") == F.col("node"), "left").select("bucket", *mine, F.coalesce("root", "tid").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-        rest = materialise(spark, placed.join(mixed, "bucket"))
-        parts = rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = parts.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not left.entries:
-            break
-        last = turn == ROUNDS or left.pairs <= FEW * left.entries or gained < 0.01 * left.entries
-        if last:
-            other = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in (*mine, "root")])
-            pairs = rest.join(other, "bucket").filter((F.col("tid") < F.col("tid2")) & (F.col("root") != F.col("root2")) & _close())
-        else:
-            lead = rest.groupBy("bucket").agg(F.min_by(F.struct(*mine, "root"), F.xxhash64("tid", "bucket", F.lit(turn))).alias("l")).select("bucket", *[F.col(f"l.{c}").alias(f"{c}2") for c in (*mine, "root")])
-            pairs = rest.join(lead, "bucket").filter((F.col("root") != F.col("root2")) & _close())
-        more = materialise(spark, _linked(pairs.select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).distinct(), content))
-        gained = more.count()
-        found = components(spark, found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
-        rest = rest.drop("root")
-        if last:
-            break
-    rooted = texts.select("tid", "rep").join(found, F.col("tid") == F.col("node"), "left").select("tid", "rep", F.coalesce("root", "tid").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
-    named = rooted.join(first, "root").select("tid", "lead")
+    # First pass: the best leader of every text.
+    leaders = shared.filter(least == F.col("lead")).select("bucket", *[F.col(c).alias(f"{c}2") for c in ("tid", *own)])
+    met = shared.filter(least != F.col("lead")).join(leaders, "bucket").filter(_close())
+    best = met.groupBy("tid").agg(F.min(F.struct(_differ().alias("d"), "tid2")).alias("m")).select(F.col("tid").alias("b"), F.col("m.tid2").alias("a"))
+    first = _linked(spark, best, content)
+    # A text has one leader, which may have its own: two steps up name the component well enough for the second pass.
+    up = first.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # Second pass: the best pairs between components, by several leaders of each bucket.
+    entries = shared.drop("lead")
+    turn = [F.xxhash64("tid", "bucket", F.lit(i)) for i in range(LEADERS)]
+    placed = _mixed(entries, found, [F.min(x).alias(f"m{i}") for i, x in enumerate(turn)])
+    columns = ["tid", "root", *own]
+    slot = F.coalesce(*[F.when(x == F.col(f"m{i}"), F.lit(i)) for i, x in enumerate(turn)])
+    leaders = placed.withColumn("slot", slot).filter("slot is not null").select("bucket", "slot", *[F.col(c).alias(f"{c}2") for c in columns])
+    met = placed.select("bucket", *columns).join(leaders, "bucket").filter((F.col("root") != F.col("root2")) & _close())
+    met = met.select(F.least("root", "root2").alias("r1"), F.greatest("root", "root2").alias("r2"), (F.col("slot") % 2).alias("half"), F.struct(_differ().alias("d"), F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).alias("p"))
+    best = met.groupBy("r1", "r2", "half").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+    second = _linked(spark, best, content)
+    found = materialise(spark, components(spark, first.unionByName(second)))
+    # Third pass: all that is left, by the rarest shingles.
+    open_texts = materialise(spark, _mixed(entries, found, []).select(*columns).distinct())
+    keys = prefixes(spark, content.join(open_texts.select("tid"), "tid", "left_semi")).join(open_texts, "tid")
+    third = _linked(spark, _stragglers(materialise(spark, keys)), content)
+    joined = components(spark, _at_roots(third, found)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = texts.select("tid", "rep").join(found, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid")).join(joined, "root", "left").select("tid", "rep", F.coalesce("top", "root").alias("root"))
+    lead = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
+    named = rooted.join(lead, "root").select("tid", "lead")
     out = signed.select("doc_id", "xh", "tid").join(named, "tid", "left")
-    own = F.col("lead").isNull()
-    return out.select("doc_id", "xh", F.when(own, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"), (own | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("xh") == F.col("lead.xh")))).alias("is_first"))
+    alone = F.col("lead").isNull()
+    return out.select("doc_id", "xh", F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"), (alone | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("xh") == F.col("lead.xh")))).alias("is_first"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:

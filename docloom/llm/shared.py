@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own only where none is set, as in tests."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where none is set, as in tests, a local session gets one of its own; a cluster raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+#: Folders of the scratch() blocks that are open, innermost last.
+_scratch: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside the block go at its end; results must be written by then."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        _delete(spark, folder)
+
+
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written once as a table in the shared folder and read back: its lineage is cut, and a lost executor costs no more than a read.
 
-    The tables stay until the folder is cleared.
+    The table goes with the innermost scratch() block; outside of one it stays until the folder is cleared.
     """
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,7 +75,8 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
             out = joined.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
         else:
             out = joined.filter("b > a").select(F.col("b").alias("x"), "m")
-        return out.filter("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
+        out = out.filter("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b"))
+        return out.distinct() if small else out
 
     def settled(e: DataFrame) -> bool:
         """Whether every node is either a root or hangs on one root; a < b in every edge, so that root is its least node."""
