@@ -2,12 +2,17 @@
 
 Detection is one regular expression per row. Detected entities (type, canonical form) are gathered once for the whole corpus, duplicates
 merged before the shuffle, and each gets a surrogate: a keyed hash of type, canonical form and attempt drives a replacement of the same type and
-format (letters by letters of the same case and script, digits by digits, separators kept; card numbers keep their first digit and their Luhn
-validity, addresses stay valid, names follow the gender of the title and the script). Collision checks run over the corpus: a surrogate that equals any detected original of its type, or another entity's surrogate, goes to the next
+format (letters by letters of the same case and script, digits by digits, separators kept; card and IBAN check digits and addresses stay
+valid, given names follow the gender of the title and the script; family names have endings that go with either gender, since one name
+serves both). Collision checks run over the corpus: a surrogate that equals any detected original of its type, or another entity's surrogate, goes to the next
 attempt, until none does, so distinct entities stay distinct. One entity has one surrogate wherever it stands, so
-references stay linked: canonical forms ignore case (mail, names) and separators (phones, cards).
+references stay linked: canonical forms ignore case (mail, names) and separators (phones, cards, IBANs). A name that stands after a title
+is replaced in the whole text, with title or without.
 
-Plan: rows with an entity meet the surrogates through two equi-joins (entity, then row); rows without one pass through without a shuffle.
+Numbers in the form of a card or an IBAN count only if their check digits fit, so order numbers and the like stay.
+
+Plan: one pass finds the entities of every row and writes them with the row; rows without one pass through. References meet the surrogates in an
+equi-join on the entity (a very common entity is a skewed key, which Spark splits), and their rows in one on the row's number.
 """
 
 from __future__ import annotations
@@ -20,13 +25,17 @@ from .shared import materialise
 # What is detected. Order decides where two could start at one place.
 TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
+TITLES_ANY = ["Dr", "Prof", "Professor", "Доктор", "Профессор"]
+TITLES = TITLES_M + TITLES_F + TITLES_ANY
 # Every pattern stands where no letter or digit is before it; START says so once for all.
 START = r"(?<![\p{L}\p{N}])"
 MAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,20}"
 SECRET = r"AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|[0-9a-f]{40}(?![\p{L}\p{N}])|(?<=[=:\s\"'])(?=[A-Za-z0-9_\-]{8})(?<=(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{8,}+"
 IPV4 = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])"
+IPV6 = r"(?<![:.])(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]{6})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
+IBAN = r"[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\p{L}\p{N}])"
+CARD = r"(?<![+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])"
 # No group of a phone begins an address, nor, where the plan isn't known, a social security number or a card.
 ADDRESS = r"(?!(?:\d{1,3}\.){3}\d)"
 OTHER = ADDRESS + r"(?!\d{3}-\d{2}-\d{4}(?!\d)|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![ -]?\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|\d{13})"
@@ -35,12 +44,16 @@ PLANS = {10: "1|7|30|44|52|90|91", 9: "31|33|34|40|41|46|48|61|351|380|420", 8:
 NATIONAL = r"\+(?:" + "|".join(rf"(?:{codes})(?:[ .-]?\(0\))?(?:(?:(?:[ .-]|[ .-]?[()][ .-]?){ADDRESS})?\d){{{n}}}" for n, codes in PLANS.items()) + r")(?![\p{L}\p{N}])"
 # Other plans: no group over a blank after five digits in a row or eleven in all; not ending inside a dotted or longer number, if it can be.
 GROUPS = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:(?:(?:[.-]|(?<!\d{5})(?<!" + r"\d[ .()-]{0,2}" * 10 + r"\d) )" + OTHER + r")?\d{2,4}){1,%d}(?![\p{L}\p{N}]%s)"
-PHONE = NATIONAL + "|" + GROUPS % (4, r"|[.-]\d") + "|" + GROUPS % (3, "") + r"|\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])"
-NAME = "(?:" + "|".join(TITLES_M + TITLES_F) + r")\.?(?: \p{Lu}[\p{L}'-]++(?!\p{N})){1,3}"
-ENTITY = START + "(?:" + "|".join((MAIL, SECRET, IPV4, SSN, CARD, PHONE, NAME)) + ")"
+# Without a country code: three, three and four digits with one separator; a leading 0 with three groups, or in brackets.
+LOCAL = r"(?<![.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{1,4} \d{3,4} \d{3,4}|\(0\d{1,5}\) ?\d{3,4}[ -]?\d{2,5})(?![\p{L}\p{N}]|[.-]\d)"
+PHONE = NATIONAL + "|" + GROUPS % (4, r"|[.-]\d") + "|" + GROUPS % (3, "") + r"|\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])" + "|" + LOCAL
+WORD = r"\p{Lu}\p{L}*+(?:['’-]\p{L}{2,}+)*+(?!\p{N})"
+TITLE = "(?:" + "|".join(TITLES) + r")(?:\.(?= )|(?= ))"
+NAME = f"{TITLE}(?: {TITLE}){{0,2}}(?: {WORD}){{1,3}}"
+ENTITY = START + "(?:" + "|".join((MAIL, IBAN, SECRET, IPV6, IPV4, SSN, CARD, PHONE, NAME)) + ")"
 #: A text without any of these has no entity: mail sign, digits, secrets' words and titles all hold one.
 SIGN = "[@0-9]"
-HINTS = ["passw", "token", "secret", "api_key", *(t for t in TITLES_M + TITLES_F if not any(t != other and other in t for other in TITLES_M + TITLES_F))]
+HINTS = ["passw", "token", "secret", "api_key", *(t for t in TITLES if not any(t != other and other in t for other in TITLES))]
 
 # Alphabets (first and last code point, letters) and syllables of surrogates, by script.
 ALPHABETS = [
@@ -95,6 +108,16 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.sequence(F.lit(1), n), term), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def mod97(characters: Column) -> Column:
+    """Remainder modulo 97 of a string of digits and capitals, A being 10."""
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.pmod(F.when(code < 58, acc * 10 + code - 48).otherwise(acc * 100 + code - 55), F.lit(97))
+
+    return F.aggregate(F.split(characters, ""), F.lit(0), step)
+
+
 def _name() -> Column:
     cyrillic = F.col("canon").rlike(r"^\p{IsCyrillic}")
     either = lambda f: F.when(cyrillic, F.split(F.lit(f("cyrillic")), " ")).otherwise(F.split(F.lit(f("latin")), " "))
@@ -116,77 +139,113 @@ def proposed(entities: DataFrame, key: str) -> DataFrame:
     """
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
     seeded = entities.withColumn("seed", F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 256))
-    seeded = seeded.withColumn("bytes", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr("seed", 1 + 2 * i, F.lit(2)), 16, 10).cast("int"))).drop("seed")
+    seeded = seeded.withColumn("bytes", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr("seed", 1 + 2 * i, F.lit(2)), 16, 10).cast("int")))
     # What stays in front, and what is masked.
     front = (
         F.when(kind == "card", F.substr(canon, F.lit(1), F.lit(1)))
-        .when(kind == "phone", F.regexp_extract(canon, r"^(\+1|\+\d{2}|)", 1))
+        .when(kind == "iban", F.substr(canon, F.lit(1), F.lit(2)))
+        .when(kind == "phone", F.regexp_extract(canon, r"^(\+1|\+\d{2}|0|)", 1))
         .when((kind == "secret") & canon.startswith("AKIA"), "AKIA")
         .otherwise("")
     )
     part = (
         F.when(kind == "mail", F.split_part(canon, F.lit("@"), F.lit(1)))
         .when(kind == "card", F.substr(canon, F.lit(2), F.length(canon) - 2))
+        .when(kind == "iban", F.substr(canon, F.lit(5)))
         .otherwise(F.substr(canon, F.length("front") + 1))
     )
     parted = seeded.withColumn("front", front).withColumn("part", part)
-    parted = parted.withColumn("mask", _masked(F.col("part"), (kind == "secret") & canon.rlike("^[0-9a-f]+$")))
+    parted = parted.withColumn("mask", _masked(F.col("part"), (kind == "ip6") | ((kind == "secret") & canon.rlike("^[0-9a-f]+$"))))
     end = F.regexp_extract(canon, r"\.(com|org|net)$", 1)
     mail = F.concat("mask", F.lit("@mail"), F.pmod(_byte(29), F.lit(100)).cast("string"), _longer("0123456789", 1), F.lit(".example."), F.when(end == "", F.lit("com")).otherwise(end))
     address = F.concat_ws(".", *(o.cast("string") for o in (F.when(attempt < 8, 240 + F.pmod(_byte(0), F.lit(15))).otherwise(1 + F.pmod(_byte(0), F.lit(223))), _byte(1), _byte(2), _byte(3))))
-    last = F.pmod(10 - luhn(F.concat("front", "mask", F.lit("0"))) + F.when(luhn(canon) == 0, 0).otherwise(1 + F.pmod(_byte(31), F.lit(9))), F.lit(10))
+    last = F.pmod(10 - luhn(F.concat("front", "mask", F.lit("0"))), F.lit(10))
+    check = F.lpad((98 - mod97(F.concat("mask", "front", F.lit("00")))).cast("string"), 2, "0")
     area = F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2)))
     fiction = (F.length("part") == 10) & (attempt < 8) & (F.substr("part", F.lit(4), F.lit(3)) == "555")
     phone = F.concat("front", F.when(fiction, F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2), F.lit(2)), F.lit("555"), F.substr("mask", F.lit(7)))).otherwise(area))
-    new = F.when(kind == "mail", mail).when(kind == "ip", address).when(kind == "card", F.concat("front", "mask", last.cast("string"))).when(kind == "phone", phone)
+    new = F.when(kind == "mail", mail).when(kind == "ip", address).when(kind == "card", F.concat("front", "mask", last.cast("string"))).when(kind == "iban", F.concat("front", check, "mask")).when(kind == "phone", phone)
     new = new.when(kind.startswith("name_") & canon.rlike(r"^[\p{IsCyrillic}\p{IsLatin}]"), _name()).otherwise(F.concat("front", "mask"))
-    # Cards keep their length (their space is large), addresses theirs.
+    # Cards and IBANs keep their length (their space is large), IPv4 addresses theirs; a short IPv6 address gets another group.
+    group = F.concat(F.lit(":"), F.substring("seed", 5, 4))
+    new = F.when((kind == "ip6") & (attempt >= LONGER) & (F.size(F.split(canon, ":")) < 8), F.concat(new, group)).otherwise(new)
     name_more = F.when(canon.rlike(r"^\p{IsCyrillic}"), _longer(ALPHABETS[3][2], LONGER)).otherwise(_longer(ALPHABETS[0][2], LONGER))
     new = F.when(kind.isin("phone", "ssn", "secret"), F.concat(new, _longer("0123456789", LONGER))).when(kind.startswith("name_"), F.concat(new, name_more)).otherwise(new)
     return parted.withColumn("new", F.when(kind.startswith("name_") | (kind == "mail"), F.lower(new)).otherwise(new)).select(*entities.columns, "new")
 
 
 def kind_of(raw: Column) -> Column:
-    """Type of a whole match."""
+    """Type of a whole match; null for a number whose check digits do not fit."""
     full = lambda p: raw.rlike(f"^(?:{p})$")
-    digits = F.length(F.regexp_replace(raw, "[^0-9]", ""))
+    digits = F.regexp_replace(raw, "[^0-9]", "")
     return (
         F.when(raw.contains("@"), "mail")
-        .when(raw.rlike(r"^\p{L}+\.? \p{Lu}"), "name")
-        .when(raw.startswith("+") | raw.startswith("("), "phone")
+        .when(raw.rlike(rf"^{TITLE} "), "name")
+        .when(full(IBAN), F.when(_iban(raw), "iban"))
         .when(raw.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(raw.rlike("^[0-9A-Fa-f]*:[0-9A-Fa-f:]+$"), "ip6")
         .when(full(r"\d{3}-\d{2}-\d{4}"), "ssn")
-        .when(raw.rlike("^[0-9 -]+$") & digits.between(13, 19), "card")
+        .when(raw.rlike(r"^[+(]") | full(LOCAL), "phone")
+        .when(raw.rlike("^[0-9 -]+$") & F.length(digits).between(13, 19), F.when(luhn(digits) == 0, "card"))
         .otherwise("secret")
     )
 
 
-def _parts(raw: Column) -> Column:
-    """The entities of a match: array of (kind, canon, raw); a title before a name has kind null."""
+def _iban(raw: Column) -> Column:
+    bare = F.regexp_replace(raw, " ", "")
+    return mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
+
+
+def _part(kind: Column, canon: Column, raw: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), canon.cast("string").alias("canon"), raw.alias("raw"))
+
+
+def _name_parts(raw: Column) -> Column:
+    """(kind, canon, raw) of the words of a name with titles; titles have kind null, the last word is the family name."""
     word = F.split(raw, " ")
-    title = F.regexp_replace(F.element_at(word, 1), r"\.", "")
-    gender = F.when(title.isin(TITLES_M), "name_m").otherwise("name_f")
-    n = F.size(word)
-    none = F.lit(None).cast("string")
+    bare = lambda w: F.rtrim(w, F.lit("."))
+    gender = F.when(F.exists(word, lambda w: bare(w).isin(TITLES_M)), "name_m").when(F.exists(word, lambda w: bare(w).isin(TITLES_F)), "name_f").otherwise("name_u")
+    none = F.lit(None)
+    return F.transform(word, lambda w, i: F.when(bare(w).isin(TITLES), _part(none, none, w)).otherwise(_part(F.when(i == F.size(word) - 1, "name_x").otherwise(gender), F.lower(w), w)))
 
-    def name(w: Column, i: Column) -> Column:
-        return F.when(i == 0, F.struct(none.alias("kind"), none.alias("canon"), w.alias("raw"))).otherwise(F.struct(F.when(i == n - 1, "name_x").otherwise(gender).alias("kind"), F.lower(w).alias("canon"), w.alias("raw")))
 
+def _parts(raw: Column, names: Column) -> Column:
+    """The entities of a match: array of (kind, canon, raw), a kind null staying as it is. names: the text's names, which count without a title too."""
+    known = F.filter(names, lambda p: p["canon"] == F.lower(raw))
     kind = kind_of(raw)
-    canon = F.when(kind == "mail", F.lower(raw)).when(kind.isin("card", "phone"), F.regexp_replace(raw, "[^0-9+]", "")).otherwise(raw)
-    return F.when(kind == "name", F.transform(word, name)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"), raw.alias("raw"))))
+    canon = F.when(kind.isin("mail", "ip6"), F.lower(raw)).when(kind.isin("card", "phone"), F.regexp_replace(raw, "[^0-9+]", "")).when(kind == "iban", F.regexp_replace(raw, " ", "")).otherwise(raw)
+    single = F.when(F.size(known) > 0, _part(F.get(known, F.lit(0))["kind"], F.lower(raw), raw)).otherwise(_part(kind, canon, raw))
+    return F.when(kind == "name", _name_parts(raw)).otherwise(F.array(single))
+
+
+def detected(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with parts (of every match in order, its entities) and pattern (what found them); both null where there is none.
+
+    A text with titled names is searched once more, with these names as further alternatives.
+    """
+    hint = text.rlike(SIGN)
+    for word in HINTS:
+        hint = hint | text.contains(word)
+    once = rows.withColumn("first", F.when(hint, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))))
+    titled = F.flatten(F.transform(F.filter("first", lambda m: m.rlike(rf"^{TITLE} ")), _name_parts))
+    named = once.withColumn("names", F.coalesce(F.filter(titled, lambda p: p["kind"].isNotNull()), F.array().cast("array<struct<kind:string,canon:string,raw:string>>")))
+    bare = F.array_join(F.array_distinct(F.flatten(F.transform("names", lambda p: F.array(p["raw"], F.upper(p["raw"]))))), "|")
+    pattern = F.when(F.size("names") > 0, F.concat(F.lit(ENTITY + "|" + START + "(?:"), bare, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ENTITY))
+    both = named.withColumn("pattern", F.when(F.size("first") > 0, pattern))
+    found = both.withColumn("found", F.when(F.size("names") > 0, F.regexp_extract_all(text, F.col("pattern"), F.lit(0))).when(F.size("first") > 0, F.col("first")))
+    return found.withColumn("parts", F.transform("found", lambda raw: _parts(raw, F.col("names")))).drop("first", "names", "found")
 
 
 def formatted(kind: Column, raw: Column, new: Column) -> Column:
     """A canonical surrogate in the format of the raw entity: separators of phones and cards, capitals of mail and names."""
 
     def put(acc: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9+]$")
+        digit = c.rlike("^[A-Za-z0-9+]$")
         return F.struct(F.concat(acc["t"], F.when(digit, F.substr(new, acc["i"], F.lit(1))).otherwise(c)).alias("t"), (acc["i"] + F.when(digit, 1).otherwise(0)).alias("i"))
 
     spaced = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), put, lambda acc: F.concat(acc["t"], F.substr(new, acc["i"])))
     name = F.when(F.length(raw) > 1, F.when(F.upper(raw) == raw, F.upper(new)).otherwise(F.initcap(new))).otherwise(F.upper(new))
-    return F.when(kind.isin("phone", "card"), spaced).when(kind.startswith("name_"), name).when((kind == "mail") & (F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(new)).otherwise(new)
+    return F.when(kind.isin("phone", "card", "iban"), spaced).when(kind.startswith("name_"), name).when(kind.isin("mail", "ip6") & (F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(new)).otherwise(new)
 
 
 def surrogates(spark: SparkSession, entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
@@ -222,31 +281,24 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: str, text: str = "te
 
     Rows of equal text are treated alike. Extra columns pass through, whatever their names.
     """
-    body = F.col(f"`{text}`")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("t"))
-    hint = F.col("t").rlike(SIGN)
-    for word in HINTS:
-        hint = hint | F.col("t").contains(word)
-    matches = F.when(hint, F.regexp_extract_all("t", F.lit(ENTITY), F.lit(0)))
-    some = F.coalesce(F.size(matches) > 0, F.lit(False))
-    clean = packed.filter(~some).select("row.*")
-    rows = packed.filter(some)
-    # A text is named by two hashes and its length.
-    name = [F.xxhash64("t").alias("h1"), F.xxhash64(F.reverse("t")).alias("h2"), F.length("t").alias("h3")]
-    seen = rows.select(*name, F.posexplode(matches).alias("pos", "raw")).select("h1", "h2", "h3", "pos", F.posexplode(_parts(F.col("raw"))).alias("sub", "e")).select("h1", "h2", "h3", "pos", "sub", "e.kind", "e.canon", "e.raw")
-    seen = materialise(spark, seen.distinct())
+    packed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = detected(packed, F.col("row")[text]).withColumn("some", F.coalesce(F.exists("parts", lambda p: F.exists(p, lambda e: e["kind"].isNotNull())), F.lit(False)))
+    found = materialise(spark, found)
+    clean = found.filter("not some").select("row.*")
+    hit = found.filter("some")
+    seen = hit.select("rid", F.posexplode("parts").alias("pos", "part")).select("rid", "pos", F.posexplode("part").alias("sub", "e")).select("rid", "pos", "sub", "e.kind", "e.canon", "e.raw")
     known = surrogates(spark, seen.filter("kind is not null").select("kind", "canon"), key)
     new = F.coalesce(formatted(F.col("kind"), F.col("raw"), F.col("new")), F.col("raw"))
-    # Titles join nothing; they keep keys that spread.
-    joined = seen.withColumn("canon", F.coalesce("canon", F.concat(F.lit("\x00"), F.col("h1").cast("string")))).withColumn("kind", F.coalesce("kind", F.lit(""))).join(known, ["kind", "canon"], "left")
-    whole = joined.select("h1", "h2", "h3", F.struct("pos", "sub", new.alias("new")).alias("p")).groupBy("h1", "h2", "h3").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    # What stays as it is joins nothing; it keeps keys that spread.
+    joined = seen.withColumn("canon", F.coalesce("canon", F.concat(F.lit("\x00"), F.col("rid").cast("string")))).withColumn("kind", F.coalesce("kind", F.lit(""))).join(known, ["kind", "canon"], "left")
+    whole = joined.select("rid", F.struct("pos", "sub", new.alias("new")).alias("p")).groupBy("rid").agg(F.array_sort(F.collect_list("p")).alias("p"))
 
     def glue(acc: Column, p: Column) -> Column:
         return F.when(p["sub"] == 0, F.concat(acc, F.array(p["new"]))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), p["new"]))))
 
-    subs = whole.select("h1", "h2", "h3", F.aggregate("p", F.array().cast("array<string>"), glue).alias("subs"))
-    between = F.split("t", ENTITY, -1)
+    subs = whole.select("rid", F.aggregate("p", F.array().cast("array<string>"), glue).alias("subs"))
+    between = F.split(F.col("row")[text], F.col("pattern"), -1)
     mended = F.concat(F.element_at("between", 1), F.array_join(F.zip_with("subs", F.slice("between", 2, F.size("between")), lambda s, b: F.concat(s, b)), ""))
-    found = rows.select("row", "t", *name).join(subs, ["h1", "h2", "h3"]).withColumn("between", between).select("row", mended.alias("mended"))
-    out = found.select(*[F.col("mended").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    out = hit.select("rid", "row", between.alias("between")).join(subs, "rid").select("row", mended.alias("mended"))
+    out = out.select(*[F.col("mended").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
     return clean.unionByName(out)
