@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, langid, neardup, packing, pii
-from docloom.llm.shared import shared_folder
+from docloom.llm.shared import scratch, shared_folder
 
 SURROGATE_KEY = "corpus-release-1"
 
@@ -52,7 +52,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Language ID and near-duplicate signatures can't be expressed in SQL; tests hold the stages against brute force.
+#: Language ID and near-duplicate signatures can't be expressed in SQL.
 ORACLE_SQL = None
 
 
@@ -60,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
