@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 BOOSTS = {"heading": 3.0, "section_hierarchy": 2.0, "chunk_text": 1.0}
 K1, B = 1.2, 0.75
 
@@ -43,27 +45,35 @@ class Index:
 
 
 def index(docs: DataFrame, fields: list[str], key: str = "chunk_id") -> Index:
-    """Index of the named text columns. Null and empty fields have no postings and don't count in their field's statistics."""
+    """Index of the named text columns. Null and empty fields have no postings and don't count in their field's statistics.
+
+    The texts are cut into terms once: postings are written, and frequencies and statistics come from them. One posting of each text, that of its first
+    term, stands for the text in the counts.
+    """
     rows = docs.select(F.col(key).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("w")) for f in fields])))
     # Outer, then filtered: else the optimiser puts the split a second time in front of the explode.
-    postings = rows.select("field", "id", F.size("w").cast("long").alias("length"), F.explode_outer("w").alias("term")).filter("term is not null").groupBy("field", "term", "id", "length").agg(F.count("*").alias("tf")).select("field", "term", "id", "tf", "length")
+    single = rows.select("field", "id", F.size("w").cast("long").alias("length"), F.get("w", F.lit(0)).alias("head"), F.explode_outer("w").alias("term")).filter("term is not null")
+    counted = single.groupBy("field", "term", "id", "length", "head").agg(F.count("*").alias("tf"))
+    postings = written(counted.select("field", "term", "id", "tf", "length", (F.col("term") == F.col("head")).alias("head")))
     frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    size = F.nullif(F.size("w"), F.lit(0))
-    statistics = rows.groupBy("field").agg(F.count(size).alias("n"), F.avg(size).alias("mean_length"))
-    return Index(postings, frequency, statistics)
+    texts = F.sum(F.col("head").cast("long"))
+    statistics = postings.groupBy("field").agg(texts.alias("n"), (F.sum("tf") / texts).alias("mean_length"))
+    return Index(postings.drop("head"), frequency, statistics)
 
 
 def search(queries: DataFrame, found: Index, k: int, boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, rank, id, score) of the k best of each row of queries(query_id, text); none for k <= 0. Scores to 6 places; ties to the smaller id.
 
-    Only postings of the queries' terms are read on; scores of a document are summed before anything is ranked.
+    Only postings of the queries' terms are read on, and only their frequencies are counted; scores of a document are summed before anything is ranked. A very common
+    term is a skewed key, which Spark splits.
     """
     boosts = boosts or BOOSTS
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     boost = F.element_at(F.create_map(*[F.lit(v) for pair in boosts.items() for v in pair]), F.col("field"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = found.document_frequency.join(F.broadcast(found.fields), "field").select("field", "term", "mean_length", (idf * boost).alias("weight"))
-    wanted = asked.join(weight, "term").repartition("field", "term")
+    # One row a field.
+    weight = found.document_frequency.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(found.fields), "field").select("field", "term", "mean_length", (idf * boost).alias("weight"))
+    wanted = asked.join(weight, "term")
     share = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = found.postings.join(wanted, ["field", "term"]).groupBy("query_id", "id", "field").agg(F.sum(share).alias("s")).groupBy("query_id", "id").agg(F.round(F.max("s"), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -43,42 +43,60 @@ def hashed_embedding(docs: DataFrame, key: str, text: str, dimension: int = 64)
     return docs.select(key).join(dense, key, "left")
 
 
-def _unit(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+def _by_length(names: pa.ChunkedArray | pa.Array, column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors, by the vectors' length."""
+    table = pa.table({"id": names, "v": column}).combine_chunks()
+    length = table.column("v").combine_chunks().value_lengths().to_numpy()
+    out = {}
+    for n in np.unique(length[length > 0]):
+        rows = table.filter(pa.array(length == n))
+        m = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, n)
+        out[int(n)] = rows.column("id").to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    return out
+
+
+def _nearest(queries: dict[int, tuple], vectors: dict[int, tuple], k: int) -> pa.RecordBatch:
+    """The k best vectors of each query among these, of its own length; ties to the smaller id."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for n, (names, q) in queries.items():
+        if n in vectors and k > 0:
+            own, v = vectors[n]
+            order = np.argsort(own, kind="stable")
+            score = np.round(q @ v[order].T, 6)
+            # A stable sort by falling score over rows in order of id breaks ties by id.
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            parts.append((np.repeat(names, top.shape[1]), own[order][top].ravel(), np.take_along_axis(score, top, axis=1).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["query_id", "vec_id", "score"])
 
 
 def cosine_topk(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of queries(query_id, embedding) against vectors(vec_id, embedding), sound vectors of one length; score to 6 places, ties to the smaller id.
+    """(query_id, rank, vec_id, score) of queries(query_id, embedding) against vectors(vec_id, embedding); score to 6 places, ties to the smaller id.
 
-    Every batch of vectors meets a block of queries in one matrix product and passes on its own k best a query, so vectors are never shuffled.
+    Null and empty vectors and null ids take no part; vectors of different lengths don't meet. Up to block queries are broadcast: every batch of vectors meets them in one matrix product and passes
+    on its own k best a query, so vectors are never shuffled. Beyond, queries and vectors are dealt into cells of block rows, one task each.
     """
-    whole = queries.select("query_id", "embedding").toArrow() if queries.count() <= block else None
-    if whole is None:
-        parts = -(-queries.count() // block)
-        number = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
-        out = None
-        for i in range(2 * parts):
-            one = cosine_topk(spark, queries.filter(number == i), vectors, k, 4 * block)
-            out = one if out is None else out.unionByName(one)
-        return out
-    ids = whole.column("query_id").to_numpy()
-    shared = spark.sparkContext.broadcast((ids, _unit(whole.column("embedding"), len(ids)) if len(ids) else np.zeros((0, 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(names) or k <= 0:
-                continue
-            v, own = _unit(batch.column(1), batch.num_rows), batch.column(0).to_numpy()
-            score = np.round(q @ v.T, 6)
-            order = np.argsort(own, kind="stable")
-            # A stable sort by falling score over rows in order of id breaks ties by id.
-            top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-            width = top.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, width)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(score, top, axis=1).ravel())], ["query_id", "vec_id", "score"])
-
-    near = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    shape = "query_id bigint, vec_id bigint, score double"
+    queries = queries.filter("query_id is not null and size(embedding) > 0").select("query_id", "embedding")
+    vectors = vectors.filter("vec_id is not null and size(embedding) > 0").select("vec_id", "embedding")
+    whole = queries.limit(block + 1).toArrow()
+    if whole.num_rows <= block:
+        shared = spark.sparkContext.broadcast(_by_length(whole.column("query_id"), whole.column("embedding")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _nearest(shared.value, _by_length(batch.column(0), batch.column(1)), k)
+
+        near = vectors.mapInArrow(run, shape)
+    else:
+        blocks, shards = (max(1, -(-x.count() // block)) for x in (queries, vectors))
+        number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.withColumn("block", number("query_id", blocks)).withColumn("shard", every(shards))
+        right = vectors.withColumn("shard", number("vec_id", shards)).withColumn("block", every(blocks))
+
+        def cell(q: pa.Table, v: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([_nearest(_by_length(q.column("query_id"), q.column("embedding")), _by_length(v.column("vec_id"), v.column("embedding")), k)])
+
+        near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, shape)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -164,13 +164,14 @@ _ENTITY = " UNION ALL ".join(rf"SELECT document_id, 'entity' AS field, '{name}'
 _WORD = " UNION ALL ".join(f"SELECT document_id, 'keyword' AS field, '{k}' AS value FROM c WHERE contains(lower(raw_text), '{k}')" for k in metadata.KEYWORDS)
 
 
-@query(
-    rf"""WITH c AS ({CORPUS}), j AS (SELECT document_id, list_distinct(list_transform(list_concat(regexp_extract_all(raw_text, '\bJudge\s+([A-Z][A-Za-z.''-]+(?:\s+[A-Z][A-Za-z.''-]+)?)\b', 1), regexp_extract_all(raw_text, '\b([A-Z][A-Z]+),\s?(?:C\.?J\.|J\.)', 1)), lambda n: {_TITLE.format("n")})) AS names FROM c WHERE category = 'judgments')
+_VALUES = rf"""WITH c AS ({CORPUS}), j AS (SELECT document_id, list_distinct(list_transform(list_concat(regexp_extract_all(raw_text, '\bJudge\s+([A-Z][A-Za-z.''-]+(?:\s+[A-Z][A-Za-z.''-]+)?)\b', 1), regexp_extract_all(raw_text, '\b([A-Z][A-Z]+),\s?(?:C\.?J\.|J\.)', 1)), lambda n: {_TITLE.format("n")})) AS names FROM c WHERE category = 'judgments')
 SELECT document_id, 'judge' AS field, unnest(list_filter(names, lambda n: len(list_filter(names, lambda o: o <> n AND list_contains(string_split(o, ' '), n))) = 0)) AS value FROM j
 UNION ALL SELECT DISTINCT document_id, 'statute' AS field, unnest({_CITES}) AS value FROM c
 UNION ALL SELECT DISTINCT * FROM ({_ENTITY} UNION ALL SELECT document_id, 'entity' AS field, unnest(list_transform(regexp_extract_all(raw_text, '\b(?:[A-Z][\w&.,''-]*(?:\s+[A-Z][\w&.,''-]*){{0,5}})\s+(?:Inc\.|Incorporated|Corp\.|Company)'), lambda v: regexp_replace(v, '\s+', ' ', 'g'))) AS value FROM c)
 UNION ALL {_WORD}"""
-)
+
+
+@query(_VALUES)
 def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges, statutes, entities and keywords, one row for each value of a document."""
     rows = metadata.enrich(corpus(spark, sf_dir), "raw_text")
@@ -180,7 +181,10 @@ def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(rows, "document_id", made)
 
 
-@query()
+@query(
+    f"""SELECT document_id AS subject, 'heard_in' AS predicate, court AS object FROM ({_COURT}) WHERE court IS NOT NULL
+UNION ALL SELECT document_id, CASE field WHEN 'judge' THEN 'presided_by' WHEN 'statute' THEN 'cites' ELSE 'mentions' END, value FROM ({_VALUES}) WHERE field <> 'keyword'"""
+)
 def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(metadata.enrich(corpus(spark, sf_dir), "raw_text"), "document_id", F.col("relationships")).drop("document_id")
 
@@ -190,23 +194,60 @@ def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).groupBy(metadata.domain(F.col("category")).alias("legal_domain")).agg(F.count("*").alias("n"))
 
 
-@query()
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_JUDGED = rf"list_concat(regexp_extract_all(raw_text, '\bJudge\s+([A-Z][A-Za-z.''-]+(?:\s+[A-Z][A-Za-z.''-]+)?)\b', 1), regexp_extract_all(raw_text, '\b([A-Z][A-Z]+),\s?(?:C\.?J\.|J\.)', 1))"
+_PLACED = ", ".join(rf"{{'at': CASE WHEN regexp_matches(raw_text, '(?i)\b{p}\b') THEN length(regexp_extract(raw_text, '(?is)^(.*?)\b{p}\b', 1)) END, 'n': {n}, 'name': '{name}'}}" for n, (p, name) in enumerate(metadata.ENTITIES))
+_FIRMS = r"list_transform(regexp_extract_all(raw_text, '\b(?:[A-Z][\w&.,''-]*(?:\s+[A-Z][\w&.,''-]*){0,5})\s+(?:Inc\.|Incorporated|Corp\.|Company)'), lambda v: {'at': strpos(raw_text, v) - 1, 'n': 99, 'name': regexp_replace(v, '\s+', ' ', 'g')})"
+_SHOWN = lambda a: f"CASE WHEN len({a}) = 0 THEN 'None identified' ELSE array_to_string({a}[1:{metadata.MOST_ITEMS}], '; ') END"
+
+
+@query(
+    rf"""WITH a AS (SELECT *, CASE WHEN category = 'judgments' THEN list_transform({_JUDGED}, lambda n: {_TITLE.format("n")}) ELSE [] END AS js, {_CITES} AS cs, list_transform(list_sort(list_filter(list_concat([{_PLACED}], {_FIRMS}), lambda e: e.at IS NOT NULL)), lambda e: e.name) AS es,
+  list_filter({metadata.KEYWORDS}, lambda k: contains(lower(raw_text), k)) AS ks FROM ({_COURT})),
+ b AS (SELECT *, {_DISTINCT.format("js")} AS names, {_DISTINCT.format("cs")} AS cites, {_DISTINCT.format("es")} AS met FROM a),
+ d AS (SELECT *, list_filter(names, lambda n: len(list_filter(names, lambda o: o <> n AND list_contains(string_split(o, ' '), n))) = 0) AS judges,
+  CASE WHEN category <> 'judgments' THEN NULL {_FEDERAL} WHEN regexp_matches(raw_text, 'STATE OF\s+[A-Z][A-Za-z]+') THEN 'State of ' || regexp_extract(raw_text, 'STATE OF\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)?)', 1) END AS jurisdiction,
+  CASE category WHEN 'tax' THEN 'Tax Law' WHEN 'judgments' THEN 'Case Law' WHEN 'acts' THEN 'Statutory Law' ELSE 'Points of View' END AS legal_domain FROM b),
+ r AS (SELECT *, list_concat(CASE WHEN court IS NULL THEN [] ELSE [document_id || ' -heard_in-> ' || court] END, list_transform(judges, lambda o: document_id || ' -presided_by-> ' || o), list_transform(cites, lambda o: document_id || ' -cites-> ' || o), list_transform(met, lambda o: document_id || ' -mentions-> ' || o)) AS links FROM d)
+SELECT document_id, array_to_string(['Document ID: ' || document_id, 'Court: ' || coalesce(court, 'Unknown'), 'Jurisdiction: ' || coalesce(jurisdiction, 'Unknown'), 'Legal Domain: ' || legal_domain, 'Judges: ' || {_SHOWN("judges")}, 'Statutes: ' || {_SHOWN("cites")},
+ 'Legal Entities: ' || {_SHOWN("met")}, 'Keywords: ' || {_SHOWN("ks")}, 'Semantic Relationships: ' || {_SHOWN("links")}], chr(10)) AS header FROM r"""
+)
 def metadata_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.enrich(corpus(spark, sf_dir), "raw_text").select("document_id", metadata.header().alias("header"))
 
 
-@query()
+@query(
+    f"""SELECT document_id, sha256(replace(replace(replace(raw_text, 'Treas. Reg.', 'Treasury Regulation'), 'Commissioner of Internal Revenue', 'CIR'), 'Commissioner', 'C.')) AS digest,
+ CAST(2 * (len(string_split(raw_text, 'Treas. Reg.')) + len(string_split(raw_text, 'Commissioner')) - 2) + 1 AS INTEGER) AS n_mappings, CAST(NULL AS VARCHAR) AS fault FROM ({CORPUS})"""
+)
 def vocab_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = corpus(spark, sf_dir).withColumn("r", standardise.rewrite(F.col("raw_text"), [(r"(Treas\. Reg\.)", "Treasury Regulation"), (r"(Commissioner of Internal Revenue)", "CIR"), (r"(Commissioner)", "C.")]))
     return made.select("document_id", F.sha2("r.body", 256).alias("digest"), F.size("r.mappings").alias("n_mappings"), standardise.mapping_fault(F.col("r.mappings"), F.length("r.body")).alias("fault"))
 
 
-@query()
+#: Headings line by line: a rule's match is a line, but a number alone goes with the next line; earlier rules claim first.
+_HEADINGS = rf"""WITH RECURSIVE c AS MATERIALIZED ({CORPUS}), s AS (SELECT document_id, string_split(raw_text, chr(10)) AS w FROM c), l AS (SELECT document_id, i, w[i] AS x, coalesce(w[i + 1], '') AS y, i < len(w) AS more, CAST(list_sum(list_transform(w[1:i], lambda z: length(z) + 1)) AS BIGINT) - length(w[i]) - 1 AS pos FROM s, unnest(range(1, len(w) + 1)) t(i)),
+ k AS (SELECT *, regexp_matches(x, '^[ \t]*PART\s+[IVXLCDM]+\b') AS r1, regexp_matches(x, '(?i)^[ \t]*(ARTICLE|SECTION)\s+[0-9]+(\.[0-9]+)*\b') AS r2, regexp_matches(x, '^[ \t]*§+\s?[0-9]+(\.[0-9]+)*\b') AS r3, regexp_matches(x, '^[ \t]*[0-9]+(\.[0-9]+)*\.?\s+[A-Z].{{0,120}}$') AS r4,
+  more AND regexp_matches(x, '^[ \t]*[0-9]+(\.[0-9]+)*\.?\s*$') AND regexp_matches(y, '^\s*[A-Z].{{0,120}}$') AND NOT regexp_matches(y, '^[ \t]*PART\s+[IVXLCDM]+\b') AND NOT regexp_matches(y, '(?i)^[ \t]*(ARTICLE|SECTION)\s+[0-9]') AS two, regexp_matches(x, '^[ \t]*[A-Z][A-Z0-9 ,''\-/&]{{3,80}}[ \t]*$') AS r5 FROM l),
+ m AS (SELECT *, coalesce(lag(two) OVER (PARTITION BY document_id ORDER BY i), false) AS after FROM k),
+ h AS MATERIALIZED (SELECT document_id, pos + length(regexp_extract(x, '^[ \t]*')) AS position, pos + CASE WHEN two AND NOT (r1 OR r2 OR r3 OR r4) THEN length(x) + 1 + length(y) ELSE length(x) END AS end_position, CASE WHEN r1 THEN 1 WHEN r2 OR r3 THEN 2 WHEN r4 OR two THEN 3 ELSE 2 END AS level,
+  regexp_replace(CASE WHEN two AND NOT (r1 OR r2 OR r3 OR r4) THEN x || chr(10) || y ELSE x END, '^\s+|\s+$', '', 'g') AS text FROM m WHERE (r1 OR r2 OR r3 OR r4 OR two OR r5) AND (NOT after OR r1 OR r2 OR r3))"""
+
+
+@query(f"{_HEADINGS} SELECT document_id, CAST(position AS INTEGER) AS position, CAST(end_position AS INTEGER) AS end_position, level, text FROM h")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(corpus(spark, sf_dir), "document_id", sections.headings(F.col("raw_text"))).withColumnsRenamed({"start": "position", "end": "end_position"})
 
 
-@query()
+@query(
+    rf"""{_HEADINGS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS i, lead(position) OVER (PARTITION BY document_id ORDER BY position) AS following FROM h),
+ p AS (SELECT document_id, i, [text] AS path FROM n WHERE i = 1 UNION ALL SELECT n.document_id, n.i, list_append(p.path[1:n.level - 1], n.text) FROM p JOIN n ON n.document_id = p.document_id AND n.i = p.i + 1),
+ t AS (SELECT document_id, 0 AS body_from, position AS body_to, CAST(NULL AS VARCHAR) AS heading, CAST([] AS VARCHAR[]) AS path FROM n WHERE i = 1 UNION ALL SELECT document_id, end_position + length(regexp_extract(substr(raw_text, end_position + 1), '^(
+?|
+)?[ \t]*')), coalesce(following, length(raw_text)), text, path FROM n JOIN p USING (document_id, i) JOIN c USING (document_id)),
+ u AS (SELECT * FROM t WHERE body_from < body_to UNION ALL SELECT document_id, 0, length(raw_text), NULL, CAST([] AS VARCHAR[]) FROM c WHERE document_id NOT IN (SELECT document_id FROM t WHERE body_from < body_to))
+SELECT document_id, CAST(body_from AS INTEGER) AS body_from, CAST(body_to AS INTEGER) AS body_to, heading, array_to_string(path, ' > ') AS hierarchy FROM u"""
+)
 def section_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(sections.sectioned(corpus(spark, sf_dir), "raw_text"), "document_id", F.col("sections"))
     return rows.select("document_id", F.col("start").alias("body_from"), F.col("end").alias("body_to"), "heading", F.array_join("hierarchy", " > ").alias("hierarchy"))
@@ -231,7 +272,10 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", vectors.l2_normalise(scaled).alias("e")).select("vec_id", F.round(F.element_at("e", 1), 6).alias("first_part"), F.round(F.element_at("e", 64), 6).alias("last_part"))
 
 
-@query()
+_HASH = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST('D:' || doc_id AS BLOB))"
+
+
+@query(f"SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS BIGINT) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS point_id FROM (SELECT doc_id, {_HASH} AS h FROM documents)")
 def point_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.point_id(F.concat(F.lit("D:"), F.col("doc_id").cast("string"))).alias("point_id"))
 
@@ -328,24 +372,38 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.hydrated(hits, store, known, "keyword").withColumn("fused_rank", F.col("position"))
 
 
-@query()
+#: Every hit is of a document of its own, so each is cited, in order of rank.
+_CITED = f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place, rank, id, concat_ws(' ', source, CAST(doc_id AS VARCHAR)) AS title, lang AS heading, 'https://docs.example.org/' || doc_id AS source_url, CAST(doc_id % 4 + 1 AS INTEGER) AS page, text AS chunk_text FROM ({_KEYWORD}) JOIN documents ON doc_id = id"""
+_EVIDENCE = r"'[Evidence ' || rank || ']' || chr(10) || 'Title: ' || title || chr(10) || 'Pages: ' || page || chr(10) || 'Source: ' || source_url || chr(10) || chr(10) || regexp_replace(chunk_text, '^\s+|\s+$', '', 'g')"
+_PROMPT = f"""SELECT query_id, '{answers.LEGAL_SYSTEM}' AS system_prompt, 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '{answers.EMPTY_CONTEXT}') || chr(10) || chr(10) || '{answers.INSTRUCTIONS}' AS user_prompt, coalesce(context, '{answers.EMPTY_CONTEXT}') AS context
+ FROM (SELECT item_id AS query_id, text FROM benchmark) LEFT JOIN (SELECT query_id, string_agg({_EVIDENCE}, chr(10) || chr(10) || '{answers.RULE}' || chr(10) || chr(10) ORDER BY place) AS context FROM ({_CITED}) GROUP BY query_id) USING (query_id)"""
+
+
+@query(f"SELECT query_id, place AS citation_rank, id AS document_id, title, heading, source_url, page AS page_start, page AS page_end FROM ({_CITED})")
 def citation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.citations(_cited(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT query_id, place AS citation_rank, id AS chunk_id, place AS chunk_rank, place AS card_rank FROM ({_CITED})")
 def citation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cited(spark, sf_dir)
     return answers.matched(answers.citations(rows), rows).select("query_id", "citation_rank", "chunk_id", "chunk_rank", "card_rank")
 
 
-@query()
+@query(f"SELECT query_id, system_prompt, user_prompt FROM ({_PROMPT})")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = answers.prompts(_questions(spark, sf_dir), answers.contexts(_cited(spark, sf_dir)))
     return out.select("query_id", "system_prompt", "user_prompt")
 
 
-@query()
+_OWN = r"list_filter(list_distinct(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+')), lambda x: x <> '')"
+
+
+@query(
+    rf"""WITH p AS (SELECT *, regexp_extract_all(user_prompt, '\S+') AS w FROM ({_PROMPT})), a AS (SELECT *, array_to_string(w[1:20], ' ') AS answer FROM p),
+ s AS (SELECT *, {_OWN.format("answer")} AS mine, {_OWN.format("context")} AS theirs FROM a), f AS (SELECT *, CASE WHEN len(mine) > 0 THEN len(list_intersect(mine, theirs)) / len(mine) ELSE 0.0 END::DOUBLE AS score FROM s)
+SELECT query_id, answer, CAST(len(w) + len(regexp_extract_all(system_prompt, '\S+')) AS BIGINT) AS prompt_tokens, CAST(least(20, len(w)) AS BIGINT) AS completion_tokens, 'STOP' AS finish_reason, 'SUCCESS' AS status, score AS faithfulness_score, score >= 0.5 AS faithfulness_passed FROM f"""
+)
 def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the deterministic stand-in provider, judged by word support."""
     out = evaluation.judged(flows.answer(spark, _questions(spark, sf_dir), _cited(spark, sf_dir)))
