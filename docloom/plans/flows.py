@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import answers, fusion, keyword, metadata, sections, standardise, vector_search, windows
+from ..sources import catalog, tables
 
 
 def chunks_of(docs: DataFrame, most: int = 448, overlap: int = 64) -> DataFrame:
@@ -16,6 +17,27 @@ def chunks_of(docs: DataFrame, most: int = 448, overlap: int = 64) -> DataFrame:
     return windows.chunked(sections.sectioned(standard.withColumn("body", body)), most=most, overlap=overlap)
 
 
+def ingested(files: DataFrame, catalogue: DataFrame, known: DataFrame, limits: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, statuses) of an ingestion run over files(category, filename, content_hash, raw_text, page_offsets, error).
+
+    Statuses hold one row a file: SKIPPED (completed under the same hash in known), FAILED with its reason (no catalogue row, decoding error, no text,
+    first fault of a chunk), or SUCCESS; with document_id, content_hash and chunk_count. A failure stays with its file. Chunks are those of the successes.
+    """
+    named = catalog.join_files(files, catalogue)
+    done = known.filter("processing_status = 'completed'").select("document_id", "content_hash", F.lit(True).alias("done"))
+    early = F.when(~F.col("matched"), "no catalogue row").when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce(F.trim("raw_text"), F.lit("")) == "", "no text")
+    judged = tables.written(named.join(done, ["document_id", "content_hash"], "left").withColumn("reason", early))
+    fresh = judged.filter("done is null and reason is null")
+    made = tables.written(chunks_of(fresh.select("document_id", "category", "raw_text", "page_offsets"), **(limits or {})))
+    found = made.groupBy("document_id").agg(F.count("*").alias("n"), F.min("reason").alias("fault"))
+    rows = judged.join(found, "document_id", "left").withColumn("fault", F.coalesce("reason", "fault", F.when(F.col("n").isNull(), "no chunks")))
+    skipped = F.coalesce("done", F.lit(False))
+    status = F.when(skipped, "SKIPPED").when(F.col("fault").isNull(), "SUCCESS").otherwise("FAILED")
+    count = F.when(status == "SUCCESS", F.col("n")).otherwise(F.lit(0)).cast("long")
+    statuses = rows.select("category", "filename", "document_id", "content_hash", status.alias("status"), F.when(~skipped, F.col("fault")).alias("reason"), count.alias("chunk_count"))
+    return made.join(found.filter("fault is null").select("document_id"), "document_id", "left_semi"), statuses
+
+
 def hybrid(spark: SparkSession, queries: DataFrame, query_vectors: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, fused_rank, fused_score) of both legs with the same k, keyword first.
 

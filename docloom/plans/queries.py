@@ -259,6 +259,26 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("chunk_id", "document_id", "ordinal", "heading", F.array_join("section_hierarchy", " > ").alias("section_hierarchy"), "chunk_text", "source_start", "source_end", "page_start", "page_end", "reason")
 
 
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An ingestion run over the derived corpus: some files have no catalogue row, some don't decode, some are registered under their hash, some under an older one."""
+    rows, n = corpus(spark, sf_dir), F.substr("document_id", F.lit(2)).cast("int")
+    rows = rows.withColumn("n", n).withColumn("filename", F.concat("document_id", F.lit(".pdf"))).withColumn("content_hash", F.sha2("raw_text", 256))
+    broken = F.col("n") % 13 == 0
+    files_ = rows.select("category", "filename", "content_hash", F.when(~broken, F.col("raw_text")).alias("raw_text"), "page_offsets", F.when(broken, "ValueError: damaged").alias("error"))
+    listed = rows.filter("n % 17 <> 0").select("category", "filename", "document_id", "title", F.lit(2000).alias("year"), "source_url", F.lit(None).cast("string").alias("summary"))
+    known = rows.filter("n % 5 < 2").select("document_id", F.when(F.col("n") % 5 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"), F.lit("completed").alias("processing_status"))
+    return flows.ingested(files_, listed, known)
+
+
+@query(
+    f"""WITH c AS (SELECT *, CAST(substr(document_id, 2) AS INTEGER) AS n FROM ({CORPUS}))
+SELECT document_id || '.pdf' AS filename, CASE WHEN n % 17 <> 0 THEN document_id END AS document_id, CASE WHEN n % 17 = 0 THEN 'FAILED' WHEN n % 5 = 0 THEN 'SKIPPED' WHEN n % 13 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+ CASE WHEN n % 17 = 0 THEN 'no catalogue row' WHEN n % 5 = 0 THEN NULL WHEN n % 13 = 0 THEN 'ValueError: damaged' END AS reason FROM c"""
+)
+def ingestion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)[1].select("filename", "document_id", "status", "reason")
+
+
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'dimension' WHEN vec_id % 7 = 0 THEN 'zero_norm' END AS reason FROM embeddings")
 def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, n = F.col("embedding"), F.col("vec_id")

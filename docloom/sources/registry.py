@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # States of a document.
@@ -37,11 +38,10 @@ def changed(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "document_id", order: str | None = None) -> DataFrame:
-    """old with the rows of new put in by key. Of several new rows of a key the last by order stays (any one, without order)."""
-    if order:
-        new = new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-    else:
-        new = new.dropDuplicates([key])
+    """old with the rows of new put in by key. Of several new rows of a key the last by order stays; without order, or among equals, the largest row."""
+    row = F.struct(*[c for c in new.columns if c != key])
+    last = F.struct(order, row) if order else row
+    new = new.groupBy(key).agg(F.max_by(row, last).alias("r")).select(key, "r.*")
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
@@ -50,15 +50,31 @@ def lookup(ids: DataFrame, registry: DataFrame) -> DataFrame:
     return ids.join(registry, "document_id", "left")
 
 
-def commit(spark: SparkSession, records: DataFrame, folder: str) -> str:
-    """Writes a new snapshot, then the pointer to it; readers see the old or the new one, whole."""
+def _newest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """(version, snapshot) of the largest version; None before the first commit."""
+    try:
+        rows = spark.read.parquet(f"{folder}/pointer")
+    except AnalysisException:
+        return None
+    row = rows.select("version", "name").orderBy(F.desc("version")).first()
+    return None if row is None else (int(row.version), row["name"])
+
+
+def commit(spark: SparkSession, records: DataFrame, folder: str) -> int:
+    """Writes a new snapshot, then the pointer to it, under the next version number, which is returned; readers see the old or the new one, whole.
+
+    Of two commits of one version the second fails, since its pointer exists.
+    """
     name = f"snapshot-{uuid.uuid4().hex}"
     records.write.parquet(f"{folder}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
-    return name
+    version = 1 + (_newest(spark, folder) or (0, ""))[0]
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/pointer/version={version}")
+    return version
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot of the newest pointer row (by file time)."""
-    row = spark.read.parquet(f"{folder}/pointer").select("name", F.col("_metadata.file_modification_time").alias("t")).orderBy(F.desc("t"), F.desc("name")).first()
-    return spark.read.parquet(f"{folder}/{row["name"]}")
+    """The snapshot of the largest version."""
+    found = _newest(spark, folder)
+    if found is None:
+        raise ValueError("the registry has no snapshot")
+    return spark.read.parquet(f"{folder}/{found[1]}")

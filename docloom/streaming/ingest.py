@@ -14,10 +14,11 @@ def documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def cleaned_upserts(stream: DataFrame, target: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Writes each batch's cleaned rows under target/batch=n; a batch that runs again replaces itself, so every row counts once. latest() reads the newest of each key."""
+    """Writes each batch's cleaned rows under target/batch=n; a batch that runs again replaces itself, so every row counts once. Of a key's rows in one batch the largest stays. latest() reads the newest of each key."""
 
     def put(batch: DataFrame, n: int) -> None:
-        rows = batch.dropDuplicates([key]).withColumn("text", clean(F.col("text"))).withColumn("content_hash", F.sha2(F.col("text"), 256))
+        row = F.struct(*[c for c in batch.columns if c != key])
+        rows = batch.groupBy(key).agg(F.max(row).alias("r")).select(key, "r.*").withColumn("text", clean(F.col("text"))).withColumn("content_hash", F.sha2(F.col("text"), 256))
         rows.write.mode("overwrite").parquet(f"{target}/batch={n}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

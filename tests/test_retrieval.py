@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.operators import answers, evaluation, fusion, vector_search
-from docloom.sources import catalog, registry
+from docloom.sources import catalog
 from docloom.streaming import ingest
 
 
@@ -52,15 +52,11 @@ def test_vectors(spark):
     assert {r.chunk_id: r.reason for r in rejects.collect()} == {"b": "zero_norm", "c": "not_finite", "e": "dimension", "f": "missing"}
 
 
-def test_catalog_and_registry(spark, tmp_path):
+def test_catalog(spark, tmp_path):
     path = tmp_path / "catalog.csv"
     path.write_text("title,document_id,year,category,source_url,filename,summary\nT,D1,0042,tax,u,a.pdf,\n T,D2,1,tax,u,a.pdf,\nT,D3,x,tax,u,a.pdf,\nT,D4,1,tax,u,.pdf,\n")
     rows = {r.document_id: r.reason for r in catalog.checked(catalog.read(spark, str(path))).collect()}
     assert rows == {"D1": None, "D2": "title not stripped text", "D3": "year not positive", "D4": "filename not a plain name"}
-    store = str(tmp_path / "registry")
-    registry.commit(spark, spark.createDataFrame([("D1", "h")], "document_id string, content_hash string"), store)
-    registry.commit(spark, spark.createDataFrame([("D1", "k")], "document_id string, content_hash string"), store)
-    assert registry.load(spark, store).first().content_hash in ("h", "k")
 
 
 def test_stream(spark, tmp_path):
