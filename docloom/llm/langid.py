@@ -6,7 +6,7 @@ Nystroem method maps a text to its kernel values against a fixed set of landmark
 own kernel matrix; one kernel ridge regression per language (one-versus-rest) is fitted on that map in closed form.
 Presence vectors are hashed into ``BUCKETS`` columns, so scoring a batch is three matrix products.
 
-Training reads at most ``per_lang`` texts of each language (a bounded sample, chosen by a hash of the document id);
+Training reads at most ``per_lang`` texts of each of the ``max_langs`` most frequent languages (a bounded sample, chosen by a hash of the document id);
 their presence vectors are computed on the executors and packed to ``BUCKETS / 8`` bytes each, which bounds what
 reaches the driver: languages x per_lang x 2 KiB. Prediction covers every row and its whole text, in one pass without
 a shuffle.
@@ -18,18 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import sampled
 from .textscan import LOWER, U64, utf8
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 400
 MAX_LANGS = 256
-#: A language's rows are ranked in so many parts first, so that its ranking ends with SALTS x per_lang rows at most.
-SALTS = 64
 LANDMARKS = 160
 RIDGE = 0.05
 UND = "und"
@@ -121,21 +120,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """Fits on at most per_lang rows of each language of docs(doc_id, text, lang); null texts or languages are left out.
+    """Fits on at most per_lang documents of each language of docs(doc_id, text, lang); null texts, languages and ids are left out.
 
-    Raises ValueError beyond max_langs languages. A table without usable rows gives a model without languages.
+    Beyond max_langs languages the most frequent ones are learned (ties by name). Of a repeated doc_id the least text counts. A table without
+    usable rows gives a model without languages.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("k"), "lang")
-    order = [F.xxhash64("k"), F.col("k")]
-    dealt = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("k"), F.lit(SALTS))).orderBy(*order))).filter(F.col("r") <= per_lang)
-    chosen = dealt.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= per_lang).select("k", "lang").limit(per_lang * max_langs + 1).collect()
-    if len({r.lang for r in chosen}) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    keys = sorted({r.k for r in chosen if r.k is not None})
-    if not keys:
-        return fit(np.zeros((0, BUCKETS), np.uint8), [])
-    sample = docs.filter(F.col("doc_id").cast("string").isin(keys) & F.col("lang").isNotNull()).select("text", "lang")
-    packed = sample.mapInArrow(_pack, "lang string, bits binary").limit(4 * per_lang * max_langs).toArrow()
+    rows = docs.select(F.col("doc_id").cast("string").alias("k"), "lang", "text").filter("k is not null and lang is not null and text is not null")
+    learned = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    # At most max_langs languages and max_langs x per_lang documents: both broadcasts are bounded.
+    chosen = sampled(rows.select("k", "lang").join(F.broadcast(learned), "lang", "left_semi"), "lang", "k", per_lang).select("k", "lang").distinct()
+    sample = rows.join(F.broadcast(chosen), ["k", "lang"], "left_semi").groupBy("k", "lang").agg(F.min("text").alias("text"))
+    packed = sample.select("text", "lang").mapInArrow(_pack, "lang string, bits binary").toArrow()
     if not packed.num_rows:
         return fit(np.zeros((0, BUCKETS), np.uint8), [])
     table = sorted(zip(packed.column("lang").to_pylist(), packed.column("bits").to_pylist(), strict=True))
@@ -147,19 +142,19 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
     """Columns keep (all, if None) of docs with lang_pred and score (0 to 1).
 
     lang_pred is ``und`` with score 0.0 where the text is null or has no letter, or where nothing was learned. The score
-    is the winning regression value clipped to 0..1. Ties go to the language that sorts first. Repeated rows stay.
+    is the winning regression value clipped to 0..1. Ties go to the language that sorts first. Repeated rows stay. Columns lang_pred and score
+    of docs give way to the new ones; all others pass, whatever their names.
     """
     shared = spark.sparkContext.broadcast((model.langs, model.landmarks, model.weights, model.bias))
-    names = docs.columns if keep is None else keep
-    cols = [F.col(f"`{c}`") for c in names if c not in ("lang_pred", "score")]
-    frame = docs.select(*cols, F.col(f"`{text}`").alias("_text"))
-    out = T.StructType([f for f in frame.schema if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    frame = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
+    out = T.StructType([*frame.schema.fields[: len(names)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
-            rest = batch.select([i for i in range(batch.num_columns) if i != at])
+            at = batch.num_columns - 1  # the text stands last, whatever the others are called
+            rest = batch.select(list(range(at)))
             for a, b, x, letters in vectors(batch.column(at)):
                 best, top = [UND] * (b - a), np.zeros(b - a)
                 if m.langs:

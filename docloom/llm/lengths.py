@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_VOCABULARY_BYTES = 16 << 20
 BLOCK = 4096
@@ -60,7 +62,9 @@ def answers(counts: DataFrame) -> DataFrame:
 
     Columns: n_tokens (the limit), n_docs, total_docs, total_tokens, docs_longer, tokens_longer (whole lengths of the longer ones),
     kept_tokens (sum of min(length, limit)), lost_tokens, quantile (share of documents of at most the limit). An empty table gives no rows.
+    The histogram is written once, so the texts behind it are encoded once.
     """
+    counts = materialise(counts.sparkSession, counts)
     rows = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     up = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -2,46 +2,32 @@
 
 All rolling three-word grams of every whole text meet the grams of the licence templates in an equi-join on their 64-bit hash,
 proved on the words themselves. A match of document word p with template word t votes for the diagonal p - t. Votes are
-summed by (document, template, diagonal); diagonals at most ``SLACK`` apart are merged into one span, so an inserted or lost word
-doesn't split it; a span is verified by the share of the template's grams it holds (every vote is an exact match of three
-words, so full votes on one diagonal are an exact occurrence) and by its length. Phrases count only as exact occurrences.
+summed by (document, template, diagonal). For whole licence texts (``license_texts.BODIES``) diagonals at most ``SLACK`` apart are merged into one span, so inserted, lost or
+replaced words don't split it, and a span is verified on the template's words that its votes cover, each counted once: they must be ``COVERAGE`` of
+them, on not much more of the document than the template is long. Notices and phrases (``license_texts.NOTICES``, ``PHRASES``) count word for word:
+every gram of theirs on one diagonal, which is an exact occurrence, since every vote is an exact match of three words.
 
-The template table is fixed here and small (a few hundred grams), so it is broadcast; the documents are read once, and only matches and
+The template table is fixed here and small (some two thousand grams), so it is broadcast; the documents are read once, and only matches and
 one row per document reach the single shuffle, on the document's row id.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .license_texts import BODIES, NOTICES
+
 GRAM = 3
-SLACK = 2
+SLACK = 8
 COVERAGE = 0.8
 
 # Phrases that count where their words stand consecutively.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Opening sentences of well-known licences and their usual notices.
-TEMPLATES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit",
-    "this code is released under the mit license": "mit",
-    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "under the terms of the gnu general public license": "gpl",
-    "gnu general public license version 2": "gpl-2",
-    "gnu general public license version 3": "gpl-3",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "licensed under cc by 4 0": "cc-by",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
-    "all rights reserved": "all-rights-reserved",
-}
+BASE, NOTICE, BODY = "base", "notice", "body"
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,45 +37,50 @@ def words(text: Column) -> Column:
 
 
 def template_rows() -> list[tuple]:
-    """(template, label, exact, n_grams, position, w0, w1, w2) of every template gram."""
+    """(template, label, kind, size in words, position, w0, w1, w2) of every template gram."""
     rows = []
-    for number, (body, label, exact) in enumerate([*((p, v, True) for p, v in PHRASES.items()), *((p, v, False) for p, v in TEMPLATES.items())]):
-        w = body.split(" ")
-        rows += [(number, label, exact, len(w) - GRAM + 1, i, *w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)]
+    templates = [*((label, text, BASE) for text, label in PHRASES.items()), *((label, text, NOTICE) for label, text in NOTICES), *((label, text, BODY) for label, text in BODIES)]
+    for number, (label, text, kind) in enumerate(templates):
+        w = _WORD.findall(text.translate(str.maketrans(_UPPER, _LOWER)))
+        rows += [(number, label, kind, len(w), i, *w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)]
     return rows
 
 
 def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """For every row of docs(doc_id, text): doc_id, n_words, spans (array of label, exact, start, end, coverage) of accepted spans, best (coverage of the best span, accepted or not).
+    """For every row of docs(doc_id, text): doc_id, n_words, spans (array of label, base, start, end, coverage) of accepted spans, best (coverage of the best span, accepted or not).
 
     Null, empty and wordless texts have no words and no spans. Repeated rows repeat; ties of spans stay side by side.
     """
-    shape = "template int, label string, exact boolean, n_grams int, position int, t0 string, t1 string, t2 string"
+    shape = "template int, label string, kind string, size int, position int, t0 string, t1 string, t2 string"
     grams = F.broadcast(spark.createDataFrame(template_rows(), shape).withColumn("g", F.xxhash64("t0", "t1", "t2")))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words(F.col("text")).alias("w"))
     n = F.size("w")
     rolled = rows.select("rid", "doc_id", n.cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(n, F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(n, F.lit(1))).alias("c"))).alias("p", "x"))
     rolled = rolled.select("rid", "doc_id", "n_words", "p", F.col("x.a").alias("w0"), F.col("x.b").alias("w1"), F.col("x.c").alias("w2"))
     met = rolled.join(grams, (F.xxhash64("w0", "w1", "w2") == F.col("g")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")), "left")
-    kept = met.filter(F.col("template").isNotNull() | F.coalesce(F.col("p") == 0, F.lit(True))).select("rid", "doc_id", "n_words", "template", "label", "exact", "n_grams", (F.col("p") - F.col("position")).cast("long").alias("diagonal"), "position").repartition("rid")
-    keys = ["rid", "doc_id", "n_words", "template", "label", "exact", "n_grams"]
-    voted = kept.groupBy(*keys, "diagonal").agg(F.count("position").alias("votes"), F.min("position").alias("t_low"), F.max("position").alias("t_high"))
+    kept = met.filter(F.col("template").isNotNull() | F.coalesce(F.col("p") == 0, F.lit(True))).select("rid", "doc_id", "n_words", "template", "label", "kind", "size", (F.col("p") - F.col("position")).cast("long").alias("diagonal"), "position").repartition("rid")
+    keys = ["rid", "doc_id", "n_words", "template", "label", "kind", "size"]
+    # A template's positions on one diagonal are distinct and no more than the template has.
+    voted = kept.groupBy(*keys, "diagonal").agg(F.collect_set("position").alias("at"))
     side = Window.partitionBy("rid", "template").orderBy("diagonal")
-    island = F.sum(F.when((F.col("diagonal") - F.lag("diagonal").over(side) <= SLACK) & ~F.col("exact"), 0).otherwise(1)).over(side.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = (F.col("diagonal") - F.lag("diagonal").over(side) <= SLACK) & (F.col("kind") == BODY)
+    island = F.sum(F.when(near, 0).otherwise(1)).over(side.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     merged = voted.withColumn("island", island).groupBy(*keys, "island").agg(
-        F.least(F.sum("votes"), F.max("n_grams").cast("long")).alias("votes"), F.min(F.col("diagonal") + F.col("t_low")).alias("start"), (F.max(F.col("diagonal") + F.col("t_high")) + GRAM).alias("end")
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min(F.col("diagonal") + F.array_min("at")).alias("start"), (F.max(F.col("diagonal") + F.array_max("at")) + GRAM).alias("end")
     )
-    share = F.col("votes") / F.col("n_grams")
-    long_enough = (F.col("end") - F.col("start")) >= COVERAGE * (F.col("n_grams") + GRAM - 1)
-    accepted = F.when(F.col("exact"), share == 1.0).otherwise((share >= COVERAGE) & long_enough & (F.col("end") - F.col("start") <= F.col("n_grams") + GRAM - 1 + 2 * SLACK))
-    span = F.when(accepted, F.struct("label", "exact", "start", "end", share.alias("coverage")))
-    out = merged.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans"), F.coalesce(F.max(share), F.lit(0.0)).alias("best"))
+    words_met = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + GRAM - 1))))
+    share = F.when(F.col("kind") == BODY, F.size(words_met) / F.col("size")).otherwise(F.size("at") / (F.col("size") - GRAM + 1))
+    longest = F.col("size") * (2 - COVERAGE) + SLACK
+    accepted = F.when(F.col("kind") == BODY, (share >= COVERAGE) & (F.col("end") - F.col("start") <= longest)).otherwise(share == 1.0)
+    merged = merged.withColumn("share", F.when(F.col("template").isNotNull(), share))
+    span = F.when(F.col("template").isNotNull() & accepted, F.struct("label", (F.col("kind") == BASE).alias("base"), "start", "end", F.col("share").alias("coverage")))
+    out = merged.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans"), F.coalesce(F.max("share"), F.lit(0.0)).alias("best"))
     return out.drop("rid")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """scan() as one line per document: counts, places and labels."""
-    base = F.filter("spans", lambda s: s["exact"])
+    base = F.filter("spans", lambda s: s["base"])
     names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     starts = F.transform(base, lambda s: s["start"])
     return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), F.col("best").alias("score"))

@@ -21,18 +21,22 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 
 def op10() -> str:
-    rows = ", ".join(f"({n}, '{label}', {str(exact).upper()}, {grams}, {at}, '{a}', '{b}', '{c}')" for n, label, exact, grams, at, a, b, c in licenses.template_rows())
+    rows = ", ".join(f"({n}, '{label}', '{kind}', {size}, {at}, '{a}', '{b}', '{c}')" for n, label, kind, size, at, a, b, c in licenses.template_rows())
+    phrases = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS p, '{label}' AS label FROM d, LATERAL unnest(range(1, len(w) - {n - 2})) t(i) WHERE array_to_string(w[i:i + {n - 1}], ' ') = '{text}'" for text, label in licenses.PHRASES.items() for n in [len(text.split())])
     slack, cover, gram = licenses.SLACK, licenses.COVERAGE, licenses.GRAM
-    return f"""WITH g(template, label, exact, n_grams, place, t0, t1, t2) AS (VALUES {rows}), d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+    return f"""WITH g(template, label, kind, size, place, t0, t1, t2) AS (VALUES {rows}), d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+ b AS MATERIALIZED ({phrases}), bn AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
  r AS (SELECT doc_id, i - 1 AS p, w[i] AS t0, w[i + 1] AS t1, w[i + 2] AS t2 FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
- v AS (SELECT doc_id, template, label, exact, n_grams, p - place AS diagonal, count(*) AS votes, min(place) AS lo, max(place) AS hi FROM r JOIN g USING (t0, t1, t2) GROUP BY ALL),
- l AS (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS earlier FROM v),
- i AS (SELECT *, sum(CASE WHEN NOT exact AND diagonal - earlier <= {slack} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM l),
- m AS (SELECT doc_id, template, label, exact, n_grams, least(sum(votes), n_grams)::DOUBLE / n_grams AS share, min(diagonal + lo) AS a, max(diagonal + hi) + {gram} AS z FROM i GROUP BY doc_id, template, label, exact, n_grams, island),
- k AS (SELECT *, CASE WHEN exact THEN share = 1 ELSE share >= {cover} AND z - a >= {cover} * (n_grams + {gram - 1}) AND z - a <= n_grams + {gram - 1 + 2 * slack} END AS good FROM m),
- s AS (SELECT doc_id, count(*) FILTER (good AND exact) AS n_base, min(a) FILTER (good AND exact) AS first_word, max(a) FILTER (good AND exact) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good AND exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good) AS labels, max(share) AS score FROM k GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN s USING (doc_id)"""
+ v AS MATERIALIZED (SELECT doc_id, template, label, kind, size, place, p, p - place AS diagonal FROM r JOIN g USING (t0, t1, t2)),
+ l AS (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS earlier FROM (SELECT DISTINCT doc_id, template, kind, diagonal FROM v)),
+ i AS (SELECT *, sum(CASE WHEN kind = 'body' AND diagonal - earlier <= {slack} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM l),
+ u AS (SELECT doc_id, template, label, kind, size, island, p, place, unnest(range(place, place + {gram})) AS word FROM v JOIN i USING (doc_id, template, kind, diagonal)),
+ m AS (SELECT doc_id, label, kind, size, CASE WHEN kind = 'body' THEN count(DISTINCT word) / size ELSE count(DISTINCT place) / (size - {gram - 1}) END::DOUBLE AS share, min(p) AS a, max(p) + {gram} AS z FROM u GROUP BY doc_id, template, label, kind, size, island),
+ k AS (SELECT *, CASE WHEN kind = 'body' THEN share >= {cover} AND z - a <= size * (2 - {cover}) + {slack} ELSE share = 1 END AS good FROM m),
+ s AS (SELECT doc_id, max(share) AS score FROM k GROUP BY doc_id),
+ ls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM k WHERE good UNION SELECT doc_id, label FROM b) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN bn USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN ls USING (doc_id)"""
 
 
 def op6() -> str:

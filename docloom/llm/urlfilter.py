@@ -5,8 +5,9 @@ by a beta-binomial prior: mean of the parent, strength estimated from the level'
 without labels gets its nearest known parent's prior. A page is blocked if the lower bound of its host's posterior bad rate (mean less ``Z`` standard
 deviations) is above ``MAX_BAD``.
 
-Counts are pre-aggregated before each shuffle; the page table meets the host table (one row per host) in an equi-join which Spark may broadcast or
-split; three scalars (one row) reach the driver. Rules become one expression.
+Pages are counted by host and document before they meet the labels, and by host before the levels are estimated; the table of hosts is written once, and the
+four scalars of the priors (one row each) come from it. The page table, read twice in all, meets it (one row per host) in an equi-join which Spark may
+broadcast or split. Rules become one expression.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 # Rules (verdict, host, path prefix).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 # Suffixes of two labels under which names are registered.
@@ -68,8 +71,14 @@ def _strength(level: DataFrame, mean: str) -> float:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, domain, suffix, n, bad, mean, bound) of every host in outcomes(host, bad), bad being 0 or 1; null outcomes are unlabelled."""
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("domain", registered(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    """(host, domain, suffix, n, bad, mean, bound) of every host in outcomes(host, bad, pages), bad being 0 or 1; null outcomes are unlabelled.
+
+    Without a column pages every row counts once.
+    """
+    pages = F.col("pages") if "pages" in outcomes.columns else F.lit(1)
+    counted = [F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), pages)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("bad") * pages), F.lit(0)).alias("bad")]
+    hosts = outcomes.groupBy("host").agg(*counted).withColumn("domain", registered(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    hosts = materialise(outcomes.sparkSession, hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -87,15 +96,16 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad) of every page: bad if the document that its path numbers has low quality or is toxic; null without label.
+    """(host, bad, pages) by host and document number: bad if the document that its path numbers has low quality or is toxic; null without label.
 
     pages(url) name their document by the first number that is a whole path segment, up to a dot; labels(doc_id, quality, toxic). Of a document's repeated labels the worst counts.
     """
     worst = labels.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad"))
     url = F.col("url")
     named = pages.select(host(url).alias("host"), F.regexp_extract(path(url), r"/(\d{1,18})(?:[./]|$)", 1).alias("d")).select("host", F.when(F.col("d") != "", F.col("d").cast("long")).alias("doc"))
+    counted = named.groupBy("host", "doc").agg(F.count("*").alias("pages"))
     # Pages without a number join nothing; they keep off the shuffle.
-    return named.filter("doc is not null").join(worst, "doc", "left").select("host", "bad").unionByName(named.filter("doc is null").select("host", F.lit(None).cast("int").alias("bad")))
+    return counted.filter("doc is not null").join(worst, "doc", "left").select("host", "bad", "pages").unionByName(counted.filter("doc is null").select("host", F.lit(None).cast("int").alias("bad"), "pages"))
 
 
 def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
