@@ -127,6 +127,16 @@ def error_message(kind: Column, message: Column) -> Column:
     return out.otherwise(F.struct(F.lit(ERROR_TITLE).alias("title"), F.lit(ERROR_OTHER[0]).alias("reason"), F.lit(ERROR_OTHER[1]).alias("suggestion")))
 
 
+def new_id() -> Column:
+    """A random UUID, another in every row."""
+    return F.uuid()
+
+
+def now_utc() -> Column:
+    """The query's time in UTC as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def point_id(chunk: Column) -> Column:
     """uuid5 of the URL namespace and the chunk id."""
     namespace = F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8"))

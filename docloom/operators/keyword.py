@@ -61,6 +61,34 @@ def index(docs: DataFrame, fields: list[str], key: str = "chunk_id") -> Index:
     return Index(postings.drop("head"), frequency, statistics)
 
 
+def checked(docs: DataFrame, fields: list[str], key: str = "chunk_id") -> DataFrame:
+    """(key, reason) of documents that a bulk write refuses: id missing, id repeated, no text in any field."""
+    blank = F.forall(F.array(*fields), lambda x: F.trim(F.coalesce(x, F.lit(""))) == "")
+    counted = docs.groupBy(key).agg(F.count("*").alias("n"), F.max(blank).alias("blank"))
+    reason = F.when(F.col(key).isNull(), "id missing").when(F.col("n") > 1, "id repeated").when(F.col("blank"), "no text")
+    return counted.select(key, reason.alias("reason")).filter("reason is not null")
+
+
+def bulk(docs: DataFrame, fields: list[str], folder: str, key: str = "chunk_id") -> Index:
+    """Writes the index of all docs, or none of it: one refused document fails the batch with a ValueError that names some."""
+    bad = checked(docs, fields, key).orderBy(key).limit(5).collect()
+    if bad:
+        raise ValueError("refused: " + ", ".join(f"{r[0]} ({r.reason})" for r in bad))
+    index(docs, fields, key).write(folder)
+    return Index.read(docs.sparkSession, folder)
+
+
+def lookup(ids: DataFrame, store: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """ids(key) with the stored chunk's columns; nulls where there is none."""
+    return ids.join(store, key, "left")
+
+
+def peek(store: DataFrame, n: int = 10, key: str = "chunk_id") -> DataFrame:
+    """The first n documents by id, each with the number of all."""
+    total = store.agg(F.count("*").alias("total"))
+    return store.orderBy(key).limit(n).crossJoin(F.broadcast(total))  # one row
+
+
 def search(queries: DataFrame, found: Index, k: int, boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, rank, id, score) of the k best of each row of queries(query_id, text); none for k <= 0. Scores to 6 places; ties to the smaller id.
 

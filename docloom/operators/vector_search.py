@@ -33,6 +33,17 @@ def one_dimension(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).withColumn("agree", F.col("low") == F.col("high"))
 
 
+def upsert(store: DataFrame, rows: DataFrame, dimension: int) -> DataFrame:
+    """store with the points of all documents in rows replaced by those in rows.
+
+    Raises ValueError if a new vector's length isn't dimension, before anything is joined.
+    """
+    found = one_dimension(rows).first()
+    if found.low is not None and (found.low, found.high) != (dimension, dimension):
+        raise ValueError(f"vectors of {found.low} to {found.high} components where {dimension} are declared")
+    return store.join(rows.select("document_id").distinct(), "document_id", "left_anti").select(*store.columns).unionByName(rows.select(*store.columns))
+
+
 def hashed_embedding(docs: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
     """(key, embedding): a deterministic stand-in for a model. Every word adds +1 or -1 at a hashed place; null for a text without words."""
     words = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("w")).filter("w <> ''")

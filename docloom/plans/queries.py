@@ -279,6 +279,41 @@ def ingestion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)[1].select("filename", "document_id", "status", "reason")
 
 
+@query(
+    f"""WITH e AS (SELECT document_id, title, source_url FROM ({CORPUS})) SELECT s_suppkey AS chunk_id, title, source_url FROM supplier LEFT JOIN e ON document_id = concat('D', lpad(CAST(s_suppkey * 3 AS VARCHAR), 6, '0'))"""
+)
+def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows by id; a third of the asked ids is beyond the store's."""
+    store = corpus(spark, sf_dir).select(F.substr("document_id", F.lit(2)).cast("long").alias("chunk_id"), "title", "source_url")
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).cast("long").alias("chunk_id"))
+    return keyword.lookup(asked, store).select(F.col("s_suppkey").alias("chunk_id"), "title", "source_url")
+
+
+@query("SELECT doc_id, lang, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id LIMIT 10")
+def store_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.peek(table(spark, sf_dir, "documents").select("doc_id", "lang"), 10, "doc_id")
+
+
+@query("SELECT label AS document_id, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE label >= 3 GROUP BY label UNION ALL SELECT label, count(*), min(-vec_id) FROM embeddings WHERE label < 3 GROUP BY label")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of some documents (here: labels) replaced by new ones under other ids."""
+    store = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"), "embedding")
+    new = store.filter("document_id < 3").withColumn("id", -F.col("id"))
+    return vector_search.upsert(store, new, 64).groupBy("document_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query(f"SELECT category, document_id || '.pdf' AS filename FROM ({CORPUS}) ORDER BY 1, 2 LIMIT 25")
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = corpus(spark, sf_dir).select("category", F.concat("document_id", F.lit(".pdf")).alias("filename"))
+    return files.candidates(named, 25)
+
+
+@query("SELECT doc_id, CASE WHEN lang IS DISTINCT FROM source THEN 'id differs' WHEN trim(coalesce(text, '')) = '' THEN 'no text' END AS reason FROM documents")
+def stage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns that hardly agree stand for the ids on either side of a stage."""
+    return table(spark, sf_dir, "documents").select("doc_id", standardise.stage_fault(F.col("lang"), F.col("source"), F.col("text")).alias("reason"))
+
+
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'dimension' WHEN vec_id % 7 = 0 THEN 'zero_norm' END AS reason FROM embeddings")
 def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, n = F.col("embedding"), F.col("vec_id")

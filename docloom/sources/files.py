@@ -32,6 +32,12 @@ def scan(spark: SparkSession, folders: dict[str, str], content: bool = True) ->
     return out
 
 
+def candidates(files: DataFrame, most: int | None = None) -> DataFrame:
+    """files(category, filename) in order of category and name; the first most of them, if given."""
+    ordered = files.orderBy("category", "filename")
+    return ordered if most is None else ordered.limit(most)
+
+
 def list_files(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
     """Paths directly in a folder, by name; extension without regard to case."""
     found = spark.read.format("binaryFile").load(folder).select("path")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -22,8 +23,28 @@ def reason() -> F.Column:
     return out.when(~F.col("processing_status").isin(STATES), "processing_status unknown").when(F.coalesce(F.col("chunk_count") < 0, F.lit(True)), "chunk_count negative")
 
 
+def _file_fault(body: str) -> str | None:
+    """What is wrong with a registry file as a whole: its root, a record's fields, a key that stands twice."""
+
+    def once(pairs: list[tuple]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key stands twice")
+        return dict(pairs)
+
+    try:
+        root = json.loads(body, object_pairs_hook=once)
+    except ValueError as e:
+        return str(e)
+    if not isinstance(root, dict) or set(root) != {"records"} or not isinstance(root["records"], list):
+        return "the root is not an object of records alone"
+    return next((f"fields of record {i}" for i, r in enumerate(root["records"]) if not isinstance(r, dict) or set(r) - {"summary"} != {*TEXTS, "chunk_count"}), None)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a ``{"records": [...]}`` file; ids that stand twice fail."""
+    """Records of a ``{"records": [...]}`` file. Another root, other fields, a key or an id that stands twice fail with a ValueError."""
+    check = F.udf(_file_fault, "string")  # once a file
+    for r in spark.read.text(path, wholetext=True).select(check("value").alias("fault")).filter("fault is not null").limit(1).collect():
+        raise ValueError(f"registry file: {r.fault}")
     shape = "records array<struct<" + ", ".join(f"{c}: string" for c in TEXTS) + ", chunk_count: int, summary: string>>"
     rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(shape).json(path).select(F.inline("records"))
     if not rows.groupBy("document_id").count().filter("count > 1").isEmpty():

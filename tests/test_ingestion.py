@@ -60,9 +60,10 @@ def test_registry_versions_and_json(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text(json.dumps({"records": [record | {"document_id": "a"}, record | {"document_id": "b", "title": " x"}, record | {"document_id": "c", "chunk_count": -1}]}))
     assert {r.document_id: r.reason for r in registry.read_json(spark, str(path)).withColumn("reason", registry.reason()).collect()} == {"a": None, "b": "title not stripped text", "c": "chunk_count negative"}
-    path.write_text(json.dumps({"records": [record, record]}))
-    with pytest.raises(ValueError):
-        registry.read_json(spark, str(path))
+    for bad in (json.dumps({"records": [record, record]}), json.dumps([record]), json.dumps({"records": [], "x": 1}), json.dumps({"records": [record | {"more": 1}]}), '{"records": [], "records": []}', "{"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            registry.read_json(spark, str(path))
     assert [r.content_hash for r in registry.lookup(spark.createDataFrame([("a",), ("z",)], "document_id string"), old).orderBy("document_id").collect()] == ["1", None]
 
 
@@ -101,6 +102,51 @@ def test_results_store_resumes(spark, tmp_path):
     assert (made["total"], made["success"], made["failed"], made["statistics"]["m"]["mean"]) == (3, 2, 1, 2.0)
 
 
+def test_bulk_index_is_whole_or_not_at_all(spark, tmp_path):
+    from docloom.operators import keyword
+
+    shape, folder = "chunk_id string, chunk_text string", str(tmp_path / "index")
+    for bad in ([("a", "x"), ("a", "y")], [(None, "x")], [("a", "x"), ("b", " ")]):
+        with pytest.raises(ValueError):
+            keyword.bulk(spark.createDataFrame(bad, shape), ["chunk_text"], folder)
+    found = keyword.bulk(spark.createDataFrame([("a", "one two two"), ("b", "two")], shape), ["chunk_text"], folder)
+    assert {(r.id, r.term): r.tf for r in found.postings.collect()} == {("a", "one"): 1, ("a", "two"): 2, ("b", "two"): 1}
+    assert tuple(found.fields.first()) == ("chunk_text", 2, 2.0)
+
+
+def test_vector_upsert_checks_dimensions(spark):
+    shape = "id string, document_id string, embedding array<double>"
+    store = spark.createDataFrame([("1", "a", [1.0, 0.0]), ("2", "a", [0.0, 1.0]), ("3", "b", [1.0, 1.0])], shape)
+    new = spark.createDataFrame([("9", "a", [2.0, 2.0])], shape)
+    assert sorted(r.id for r in vector_search.upsert(store, new, 2).collect()) == ["3", "9"]
+    with pytest.raises(ValueError):
+        vector_search.upsert(store, new, 3)
+    assert vector_search.upsert(store, new.filter("false"), 2).count() == 3
+
+
+def test_golden_set(spark, tmp_path):
+    path = tmp_path / "golden.csv"
+    head = ",".join(evaluation.GOLDEN) + ",note\n"
+    path.write_text(head + 'q1, What? ,"yes, so",d1_x.pdf,,n\n')
+    assert evaluation.read_golden(spark, str(path)).first().question == "What?"
+    for body in (head + "q1,,a,d,,\n", "question_id,question\nq1,x\n"):
+        path.write_text(body)
+        with pytest.raises(ValueError):
+            evaluation.read_golden(spark, str(path))
+
+
+def test_header_split_and_stage_ids(spark):
+    from docloom.operators import standardise
+
+    docs = spark.createDataFrame([("D", "some text")], "document_id string, text string")
+    made = standardise.standardise(docs, F.lit("Head"))
+    assert made.select(standardise.body_fault(F.col("mappings"), F.col("body_start"))).first()[0] is None
+    assert made.select(standardise.body_fault(F.slice("mappings", 2, 9), F.col("body_start"))).first()[0] == "no header mapping"
+    assert made.select(standardise.body_fault(F.col("mappings"), F.lit(1))).first()[0] == "body start differs"
+    rows = spark.createDataFrame([("a", "a", "x"), ("a", "b", "x"), ("a", "a", " "), (None, None, "x")], "e string, f string, t string")
+    assert [r[0] for r in rows.select(standardise.stage_fault(F.col("e"), F.col("f"), F.col("t"))).collect()] == [None, "id differs", "no text", None]
+
+
 def test_catalogue_join(spark):
     listed = spark.createDataFrame([("tax", "a.pdf", "D1", "T", 1, "u", None)], "category string, filename string, document_id string, title string, year int, source_url string, summary string")
     found = spark.createDataFrame([("tax", "a.pdf"), ("acts", "a.pdf")], "category string, filename string")
