@@ -6,9 +6,10 @@ benchmark items meet in an equi-join, and every hit is extended over the words a
 hit are compared, word by word, with the items' windows (an equi-join on the window's hash and text). An item of fewer than SPAN words is one window;
 its own length serves as k for it, and every k-gram of that length is a fingerprint.
 
-The document pass is Arrow-based and carries no text on: it drops fingerprints that miss a bitmap of the items' fingerprints. The bitmap
-has 2**FILTER_BITS bits (512 KiB) whatever the benchmark's size, and only lets too many through, never too few; the joins decide. Both joins
-are ordinary equi-joins, so Spark chooses broadcast or shuffle from the measured sizes.
+The document pass is Arrow-based and carries no text on: it drops fingerprints that miss a bitmap of the items' fingerprints. The bitmap has 16 bits for
+each fingerprint, rounded up to a power of two, between 2**LEAST_BITS (512 KiB) and 2**MOST_BITS (16 MiB) bits, so it lets one in 16 to 32 misses through up to eight
+million fingerprints and more beyond, never too few; the joins decide. Both joins are ordinary equi-joins, so Spark chooses broadcast or shuffle from
+the measured sizes and splits a very common passage.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .textscan import U64, kgrams, pieces, scan, within
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
-FILTER_BITS = 22
+LEAST_BITS, MOST_BITS = 22, 27
 _MOST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -87,12 +88,12 @@ def benchmark_index(spark: SparkSession, bench: DataFrame) -> tuple[DataFrame, D
 
 
 def _bitmap(prints: DataFrame) -> np.ndarray:
-    """2**FILTER_BITS bits as bytes; at most 2**FILTER_BITS / 64 rows reach the driver."""
-    bit = prints.select(F.col("fp").bitwiseAND((1 << FILTER_BITS) - 1).alias("b"))
-    cells = bit.select(F.shiftright("b", 6).alias("cell"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v")).groupBy("cell").agg(F.bit_or("v").alias("v")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for r in cells:
-        out[r.cell] = r.v
+    """The fingerprints' bits in 64-bit cells; at most 2**MOST_BITS / 64 rows reach the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * prints.count() - 1).bit_length()))
+    bit = prints.select(F.col("fp").bitwiseAND((1 << bits) - 1).alias("b"))
+    cells = bit.select(F.shiftright("b", 6).alias("cell"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v")).groupBy("cell").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("v").to_numpy()
     return out
 
 
@@ -116,7 +117,7 @@ def hits(spark: SparkSession, docs: DataFrame, bench: DataFrame) -> DataFrame:
                 h, first = words.hashes(), words.first
                 found: list[list[dict]] = [[] for _ in range(b - a)]
                 for n, (k, at, g) in enumerate(fingerprints(h, first, lengths)):
-                    low = g & U64((1 << FILTER_BITS) - 1)
+                    low = g & U64(64 * len(table) - 1)
                     in_map = (table[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1) == 1
                     at, g = at[in_map], g[in_map].view(np.int64)
                     doc = np.searchsorted(first, at, side="right") - 1
