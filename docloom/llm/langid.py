@@ -147,8 +147,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
     """
     shared = spark.sparkContext.broadcast((model.langs, model.landmarks, model.weights, model.bias))
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
-    out = T.StructType([*frame.schema.fields[: len(names)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    # Numbered on the way in, so that no name of the caller's clashes.
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"))
+    kept = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(names, frame.schema.fields, strict=False)]
+    out = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
@@ -163,7 +165,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
                     top = np.where(letters, np.clip(s[np.arange(len(win)), win], 0, 1), 0.0)
                     best = [m.langs[w] if ok else UND for w, ok in zip(win, letters, strict=True)]
                 part = rest.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(top, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(top, pa.float64())], [*names, "lang_pred", "score"])
 
     return frame.mapInArrow(run, out)
 
