@@ -45,6 +45,8 @@ BANDS, ROWS = 32, 6
 PLANE = BANDS * ROWS // 64
 SKETCH = [f"s{i}" for i in range(2 * PLANE)]
 SKETCH_LEAST = 0.62
+#: Documents whose signatures are made together, and points drawn at once: both keep the scratch arrays small.
+BLOCK, CHUNK = 64, 1 << 15
 #: Leaders of a bucket in the second pass.
 LEADERS = 4
 #: Cells of the counts by which shingles are ordered, from rare to frequent. Any order gives the same links; collisions only cost time.
@@ -74,8 +76,37 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
     return doc[start], g[start], np.diff(np.append(start, len(g)))
 
 
+def _points(seed: np.ndarray, limit: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, time, identity) of the Poisson points of rate width of every seed up to its limit, in order of time within a row.
+
+    Rows that expect about equally many points are drawn together, about CHUNK points at once, and go on where these did not reach the limit.
+    """
+    mean = limit * width
+    steps = np.maximum(4, 2.0 ** (np.ceil(2 * np.log2(mean + 3 * np.sqrt(mean) + 4)) / 2)).astype(np.int64)
+    for n in np.unique(steps):
+        rows = np.flatnonzero(steps == n)
+        size = max(1, CHUNK // int(n))
+        for a in range(0, len(rows), size):
+            row, now, turn = rows[a : a + size], 0.0, np.arange(1, n + 1, dtype=U64)
+            while len(row):
+                name = mix(seed[row][:, None] + turn * _GOLDEN)
+                gap = np.log(((name >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -width
+                gap[:, 0] += now
+                time = np.cumsum(gap, axis=1)
+                live = time <= limit[row][:, None]
+                yield np.repeat(row, np.count_nonzero(live, axis=1)), time[live], name[live]
+                on = live[:, -1]
+                row, now, turn = row[on], time[on, -1], turn + U64(n)
+
+
 def signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, m: int = BANDS * ROWS) -> np.ndarray:
-    """n_docs x m signature of the weighted sets; all zero for an empty set. doc ascends; weights are integers from 1."""
+    """n_docs x m signature of the weighted sets; all zero for an empty set. doc ascends; weights are integers from 1. Documents are worked on in blocks of BLOCK."""
+    edge = np.searchsorted(doc, np.arange(0, n_docs + BLOCK, BLOCK))
+    parts = [_signed(doc[p:q] - i * BLOCK, item[p:q], weight[p:q], min(BLOCK, n_docs - i * BLOCK), m) for i, (p, q) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+    return np.concatenate(parts) if parts else np.zeros((0, m), dtype=U64)
+
+
+def _signed(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
     out = np.zeros((n_docs, m), dtype=U64)
     total = np.bincount(doc, weights=weight, minlength=n_docs)
     todo, factor = total > 0, np.log(m) + 3.0
@@ -88,25 +119,12 @@ def signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: in
         low = 0
         while len(d):
             width = max(1, low)
-            x = mix(e ^ mix(np.full(1, low + 1, dtype=U64)))
-            limit, slot, weigh = bound[d], d, w
-            t = np.zeros(len(d))
-            step = 0
-            while len(x):
-                step += 1
-                s = mix(x + U64(step * int(_GOLDEN) % (1 << 64)))
-                t = t - np.log(((s >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
-                live = t <= limit
-                x, t, limit, slot, weigh, s = x[live], t[live], limit[live], slot[live], weigh[live], s[live]
-                if not len(x):
-                    break
-                more = mix(s ^ U64(0xD1B54A32D192ED03))
-                at = slot * m + ((more >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
+            for row, time, name in _points(mix(e ^ mix(np.full(1, low + 1, dtype=U64))), bound[d], width):
+                more = mix(name ^ U64(0xD1B54A32D192ED03))
+                at = d[row] * m + ((more >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
                 if low:
-                    own = low + ((more & U64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32) * width < weigh
-                    at, time, name = at[own], t[own], s[own]
-                else:
-                    time, name = t, s
+                    own = low + ((more & U64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32) * width < w[row]
+                    at, time, name = at[own], time[own], name[own]
                 np.minimum.at(when, at, time)
                 points.append((at, time, name))
             low = max(1, 2 * low)
