@@ -100,9 +100,13 @@ def search(queries: DataFrame, found: Index, k: int, boosts: dict[str, float] |
     boost = F.element_at(F.create_map(*[F.lit(v) for pair in boosts.items() for v in pair]), F.col("field"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # One row a field.
-    weight = found.document_frequency.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(found.fields), "field").select("field", "term", "mean_length", (idf * boost).alias("weight"))
+    frequency = found.document_frequency.filter(F.col("field").isin(list(boosts)))
+    weight = frequency.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(found.fields), "field").select("field", "term", "mean_length", (idf * boost).alias("weight"))
     wanted = asked.join(weight, "term")
     share = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = found.postings.join(wanted, ["field", "term"]).groupBy("query_id", "id", "field").agg(F.sum(share).alias("s")).groupBy("query_id", "id").agg(F.round(F.max("s"), 6).alias("score"))
+    # One sum a field, so that a document's fields meet in a single aggregation.
+    sums = [F.sum(F.when(F.col("field") == f, share)).alias(f"s{i}") for i, f in enumerate(boosts)]
+    best_field = F.greatest(*[f"s{i}" for i in range(len(boosts))]) if len(boosts) > 1 else F.col("s0")
+    scored = found.postings.join(wanted, ["field", "term"]).groupBy("query_id", "id").agg(*sums).select("query_id", "id", F.round(best_field, 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
