@@ -224,10 +224,6 @@ def _close() -> Column:
     return (F.least("size", "size2") >= SIMILARITY * F.greatest("size", "size2") - 1e-9) & (_differ() <= most)
 
 
-def _second(frame: DataFrame, columns: list[str]) -> DataFrame:
-    return frame.select(*[F.col(c).alias(f"{c}2") for c in columns])
-
-
 def _mixed(entries: DataFrame, found: DataFrame, extra: list[Column]) -> DataFrame:
     """entries with their component's root, of buckets with several components; extra are aggregates of the bucket."""
     placed = entries.join(found, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid")).drop("node")
@@ -291,8 +287,9 @@ def prefixes(spark: SparkSession, texts: DataFrame) -> DataFrame:
                 tokens.append(token[first[place]])
                 places.append(place)
             if rows:
-                row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["tid", "token", "place"])
+                row, token, place = (np.concatenate(x) for x in (rows, tokens, places))
+                columns = [batch.column("tid").take(pa.array(row)), pa.array(token.view(np.int64)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["tid", "token", "place"])
 
     return texts.select("tid", "text").mapInArrow(run, "tid binary, token bigint, place int")
 
@@ -325,16 +322,19 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stands for its class (the least doc_id, then the least xh); rows without words are all first. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("xh"), "text")
-    signed = materialise(spark, rows.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, tid binary, size bigint, {', '.join(f'{c} bigint' for c in SKETCH)}, bands array<bigint>"))
     own = ["size", *SKETCH]
-    texts = materialise(spark, signed.filter(F.col("tid").isNotNull()).groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), *[F.first(c).alias(c) for c in (*own, "bands")]))
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, tid binary, {', '.join(f'{c} bigint' for c in own)}, bands array<bigint>"
+    signed = materialise(spark, rows.mapInArrow(_sign, shape))
+    worded = signed.filter(F.col("tid").isNotNull())
+    texts = materialise(spark, worded.groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), *[F.first(c).alias(c) for c in (*own, "bands")]))
     entries = texts.select("tid", F.explode("bands").alias("bucket"))
     least = F.xxhash64("tid")
     leader = entries.groupBy("bucket").agg(F.min(least).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
     shared = materialise(spark, entries.join(leader, "bucket").join(texts.select("tid", *own), "tid"))
     needed = shared.select("tid").distinct().join(texts.select("tid", "rep.doc_id", "rep.xh"), "tid")
     source = rows.select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), "text")
-    content = materialise(spark, needed.join(source, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))).groupBy("tid").agg(F.first("text").alias("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))
+    content = materialise(spark, needed.join(source, same).groupBy("tid").agg(F.first("text").alias("text")))
     # First pass: the best leader of every text.
     leaders = shared.filter(least == F.col("lead")).select("bucket", *[F.col(c).alias(f"{c}2") for c in ("tid", *own)])
     met = shared.filter(least != F.col("lead")).join(leaders, "bucket").filter(_close())
@@ -351,7 +351,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     slot = F.coalesce(*[F.when(x == F.col(f"m{i}"), F.lit(i)) for i, x in enumerate(turn)])
     leaders = placed.withColumn("slot", slot).filter("slot is not null").select("bucket", "slot", *[F.col(c).alias(f"{c}2") for c in columns])
     met = placed.select("bucket", *columns).join(leaders, "bucket").filter((F.col("root") != F.col("root2")) & _close())
-    met = met.select(F.least("root", "root2").alias("r1"), F.greatest("root", "root2").alias("r2"), (F.col("slot") % 2).alias("half"), F.struct(_differ().alias("d"), F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).alias("p"))
+    pair = F.struct(_differ().alias("d"), F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
+    met = met.select(F.least("root", "root2").alias("r1"), F.greatest("root", "root2").alias("r2"), (F.col("slot") % 2).alias("half"), pair.alias("p"))
     best = met.groupBy("r1", "r2", "half").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
     second = _linked(spark, best, content)
     found = materialise(spark, components(spark, first.unionByName(second)))
@@ -360,12 +361,15 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keys = prefixes(spark, content.join(open_texts.select("tid"), "tid", "left_semi")).join(open_texts, "tid")
     third = _linked(spark, _stragglers(materialise(spark, keys)), content)
     joined = components(spark, _at_roots(third, found)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    rooted = texts.select("tid", "rep").join(found, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid")).join(joined, "root", "left").select("tid", "rep", F.coalesce("top", "root").alias("root"))
+    rooted = texts.select("tid", "rep").join(found, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid"))
+    rooted = rooted.join(joined, "root", "left").select("tid", "rep", F.coalesce("top", "root").alias("root"))
     lead = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
     named = rooted.join(lead, "root").select("tid", "lead")
     out = signed.select("doc_id", "xh", "tid").join(named, "tid", "left")
     alone = F.col("lead").isNull()
-    return out.select("doc_id", "xh", F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"), (alone | (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("xh") == F.col("lead.xh")))).alias("is_first"))
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("xh") == F.col("lead.xh"))
+    name = F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    return out.select("doc_id", "xh", name.alias("class_id"), (alone | leads).alias("is_first"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
