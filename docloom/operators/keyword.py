@@ -15,6 +15,7 @@ from ..sources.tables import written
 
 BOOSTS = {"heading": 3.0, "section_hierarchy": 2.0, "chunk_text": 1.0}
 K1, B = 1.2, 0.75
+SALTS = 16
 
 
 def terms(x: Column) -> Column:
@@ -93,7 +94,7 @@ def search(queries: DataFrame, found: Index, k: int, boosts: dict[str, float] |
     """(query_id, rank, id, score) of the k best of each row of queries(query_id, text); none for k <= 0. Scores to 6 places; ties to the smaller id.
 
     Only postings of the queries' terms are read on, and only their frequencies are counted; scores of a document are summed before anything is ranked. A very common
-    term is a skewed key, which Spark splits.
+    term is dealt over several keys.
     """
     boosts = boosts or BOOSTS
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
@@ -102,11 +103,14 @@ def search(queries: DataFrame, found: Index, k: int, boosts: dict[str, float] |
     # One row a field.
     frequency = found.document_frequency.filter(F.col("field").isin(list(boosts)))
     weight = frequency.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(found.fields), "field").select("field", "term", "mean_length", (idf * boost).alias("weight"))
-    wanted = asked.join(weight, "term")
+    # A common term meets very many questions: its postings are dealt over SALTS keys, and the few rows of its questions copied to each.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wanted = asked.join(weight, "term").withColumn("salt", salts)
+    postings = found.postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     share = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     # One sum a field, so that a document's fields meet in a single aggregation.
     sums = [F.sum(F.when(F.col("field") == f, share)).alias(f"s{i}") for i, f in enumerate(boosts)]
     best_field = F.greatest(*[f"s{i}" for i in range(len(boosts))]) if len(boosts) > 1 else F.col("s0")
-    scored = found.postings.join(wanted, ["field", "term"]).groupBy("query_id", "id").agg(*sums).select("query_id", "id", F.round(best_field, 6).alias("score"))
+    scored = postings.join(wanted, ["field", "term", "salt"]).groupBy("query_id", "id").agg(*sums).select("query_id", "id", F.round(best_field, 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
