@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lengths, licenses, neardup, packing, pii, quality, sql, topk, urlfilter
+from . import codes, decontam, infill, langid, lengths, licenses, neardup, packing, pieces, pii, quality, sql, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,32 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(spark, _table(spark, sf_dir, "documents")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every sound embedding, with the digest of the codebooks."""
+    found, books = codes.compressed(spark, _table(spark, sf_dir, "embeddings"))
+    return found.withColumn("codebooks_sha256", F.sha2(F.lit("" if books is None else books.text()), 256))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and digests of every document's fill-in-the-middle output and of the text restored from it."""
+    found = infill.transformed(_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(infill.restored(F.col("output"), F.col("form")), 256)}
+    return found.withColumns(digests).drop("output")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's piece ids, and the digest of their decoded text."""
+    found = pieces.encoded(spark, _table(spark, sf_dir, "documents"), pieces.default_vocabulary())
+    digests = [F.sha2(pieces.id_text(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii_surrogates, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_url_filter, op7_best_fit_packing, op8_minhash_neardup, op9_token_counts, op10_license_scan)}
+    first = (op1_decontamination, op2_pii_surrogates, op3_exact_topk, op4_language_id, op5_quality_classifier, op6_url_filter, op7_best_fit_packing)
+    others = (op8_minhash_neardup, op9_token_counts, op10_license_scan, op11_vector_codes, op12_fill_in_middle, op13_sentencepiece)
+    return {f.__name__: f for f in (*first, *others)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1, "op3_exact_topk": sql.OP3, "op6_url_filter": sql.op6(), "op10_license_scan": sql.op10()}
+    found = {"op1_decontamination": sql.OP1, "op3_exact_topk": sql.OP3, "op6_url_filter": sql.op6(), "op10_license_scan": sql.op10()}
+    return found | {"op11_vector_codes": sql.op11(), "op12_fill_in_middle": sql.OP12}

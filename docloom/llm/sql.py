@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, urlfilter
+from . import codes, licenses, urlfilter
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -20,6 +20,37 @@ OP3 = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
 
+OP12 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+ h AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, [CAST('0x' || substr(s, 1 + 8 * i, 8) AS BIGINT) FOR i IN range(4)] AS h FROM t),
+ c AS (SELECT *, len(l) AS n, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS b FROM h),
+ p AS (SELECT doc_id, text, n, CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:], '') AS suffix FROM c),
+ o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+ sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o"""
+
+
+def op11() -> str:
+    """Every entry compared with every part: two rounds of assignment and update, then the codes."""
+    parts, entries, rounds = codes.PARTS, codes.ENTRIES, codes.ROUNDS
+
+    def nearest(book: str) -> str:
+        return f"""SELECT vec_id, rn, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.vec_id, x.rn, x.p, b.e,
+  CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS BIGINT) AS d FROM x JOIN {book} b USING (p)) GROUP BY ALL"""
+
+    steps = ""
+    for r in range(rounds):
+        steps += f""", a{r} AS MATERIALIZED ({nearest(f"b{r}")}),
+ m{r} AS (SELECT p, e, i, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM x JOIN a{r} USING (rn, p)) GROUP BY ALL),
+ u{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{r} GROUP BY ALL), b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(u{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN u{r} USING (p, e))"""
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ x AS MATERIALIZED (SELECT rn, vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) t(p)), b0 AS MATERIALIZED (SELECT p, rn AS e, v FROM x WHERE rn < {entries}){steps},
+ f AS MATERIALIZED ({nearest(f"b{rounds}")}), r AS (SELECT rn, k.vec_id, label, string_agg(lpad(printf('%x', e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM k JOIN f USING (rn) GROUP BY ALL),
+ w AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, w"""
+
+
 def op10() -> str:
     rows = ", ".join(f"({n}, '{label}', '{kind}', {size}, {at}, '{a}', '{b}', '{c}')" for n, label, kind, size, at, a, b, c in licenses.template_rows())
     phrases = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS p, '{label}' AS label FROM d, LATERAL unnest(range(1, len(w) - {n - 2})) t(i) WHERE array_to_string(w[i:i + {n - 1}], ' ') = '{text}'" for text, label in licenses.PHRASES.items() for n in [len(text.split())])
