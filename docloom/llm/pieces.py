@@ -5,7 +5,7 @@ its characters, an agenda holds the adjacent pairs whose union is a piece, and t
 left; what is no piece then falls back to its bytes, or to the unknown piece. A unit ends between two characters that stand side by side in no piece of the
 vocabulary, so no union reaches over its end and cutting changes nothing.
 
-Tasks keep the pieces of short units that they have met (at most ``KEPT`` units, then they start anew), which bounds memory and changes no result. Every
+A worker keeps the ids of short units that it has met (at most ``KEPT`` units, about 130 MB, then it starts anew) from task to task, which changes no result. Every
 Arrow batch is checked against the sentencepiece library: ids and decoded text of each row must be the library's, or the job fails with the row named.
 
 The vocabulary file's path is a parameter; the driver reads it (checked size) and sends its bytes to the executors once.
@@ -16,7 +16,9 @@ from __future__ import annotations
 import heapq
 import os
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .textscan import pieces as slices
 MOST_VOCABULARY_BYTES = 16 << 20
 BLANK = "▁"
 #: Units of at most SHORT characters are kept, at most KEPT of them in a task.
-SHORT, KEPT = 32, 1 << 18
+SHORT, KEPT = 32, 1 << 19
 NEVER = float("inf")
 # Numbers of model and piece types in the file format.
 BPE, NORMAL, UNKNOWN, CONTROL, BYTE = 2, 1, 2, 3, 6
@@ -40,6 +42,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Kept(dict):
+    """Ids of short units that were met, by unit; what is missing is made."""
+
+    def __init__(self, make: Callable[[str], list[int]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str) -> list[int]:
+        ids = self.make(unit)
+        if len(unit) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Vocabulary:
     """A merge-type vocabulary: encodes and decodes single texts."""
 
@@ -72,10 +90,10 @@ class Vocabulary:
         self.number = np.zeros(sys.maxunicode + 1, dtype=np.int32)
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         at = {c: n for n, c in enumerate(letters, 1)}
-        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
-        for x, y in within:
-            self.joined[at[x], at[y]] = True
-        self.kept: dict[str, list[int]] = {}
+        self.across = len(letters) + 1
+        self.apart = np.ones(self.across**2, dtype=bool)
+        self.apart[[at[x] * self.across + at[y] for x, y in within]] = False
+        self.kept = _Kept(self._unit)
 
     @staticmethod
     def id_of_byte(model, b: int) -> int:
@@ -90,7 +108,7 @@ class Vocabulary:
     def units(self, text: str) -> list[str]:
         """text cut wherever no piece goes on, so that no union of symbols reaches over a cut."""
         number = self.number[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
-        cut = (np.flatnonzero(~self.joined[number[:-1], number[1:]]) + 1).tolist()
+        cut = (np.flatnonzero(self.apart.take(number[:-1] * self.across + number[1:])) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)] if text else []
 
     def symbols(self, unit: str) -> list[str]:
@@ -143,18 +161,10 @@ class Vocabulary:
                 out += [self.byte[b] for b in s.encode()]
             else:
                 out.append(self.unknown)
-        if len(unit) <= SHORT:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[unit] = out
         return out
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        kept = self.kept.get
-        for unit in self.units(self.normalised(text)):
-            found = kept(unit)
-            ids += self._unit(unit) if found is None else found
+        ids = list(chain.from_iterable(map(self.kept.__getitem__, self.units(self.normalised(text)))))
         if not self.byte:  # one unknown piece stands for a run of them
             ids = [i for at, i in enumerate(ids) if i != self.unknown or not at or ids[at - 1] != i]
         return ids
@@ -198,6 +208,17 @@ def _bytes(run: bytearray) -> str:
         return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def loaded(raw: bytes) -> Vocabulary:
+    """The vocabulary of a worker, with the units it has kept so far."""
+    return Vocabulary(raw)
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(i) for i in ids], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=at[-1])))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>, decoded string) of every row of docs: the ids of its whole text, without begin or end, and their decoded text.
 
@@ -212,14 +233,14 @@ def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(raw.value)
+        own = loaded(raw.value)
         for batch in batches:
             for a, b, _, _ in slices(batch.column(1)):
                 names, texts = batch.column(0).slice(a, b - a), [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ids = [own.encode(t) for t in texts]
                 decoded = [own.decode(i) for i in ids]
                 checked(own, names, texts, ids, decoded)
-                yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [key, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([names, _lists(ids), pa.array(decoded, pa.string())], [key, "ids", "decoded"])
 
     return docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
 
