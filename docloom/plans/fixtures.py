@@ -34,7 +34,11 @@ FROM part"""
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived corpus with page_offsets every 500 characters."""
-    rows = spark.sql(CORPUS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # Light rows become heavy texts: a file of one partition is dealt out before.
+    if len(part.inputFiles()) < spark.sparkContext.defaultParallelism:
+        part = part.repartition(spark.sparkContext.defaultParallelism)
+    rows = spark.sql(CORPUS.replace("FROM part", "FROM {part}"), part=part)
     size = F.length("raw_text")
     pages = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 500).cast("int")), lambda i: F.struct((i * 500).alias("start"), F.least((i + 1) * 500, size).alias("end")))
     return rows.withColumn("page_offsets", pages)

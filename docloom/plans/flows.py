@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import answers, fusion, keyword, metadata, sections, standardise, vector_search, windows
-from ..sources import catalog, tables
+from ..sources import catalog, tables, versions
 
 
 def chunks_of(docs: DataFrame, most: int = 448, overlap: int = 64) -> DataFrame:
@@ -38,12 +38,29 @@ def ingested(files: DataFrame, catalogue: DataFrame, known: DataFrame, limits: d
     return made.join(found.filter("fault is null").select("document_id"), "document_id", "left_semi"), statuses
 
 
-def hybrid(spark: SparkSession, queries: DataFrame, query_vectors: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+def stored_index(docs: DataFrame, name: str, fields: list[str], key: str = "chunk_id") -> keyword.Index:
+    """The keyword index called name of docs, from its store in the shared folder; written there by the first that asks.
+
+    The store's folder follows from the name, the fields and the names, sizes and times of the files behind docs, so files that change have another store.
+    """
+    spark = docs.sparkSession
+    files = versions.fingerprint(spark, docs.inputFiles())
+    folder = f"{tables.shared_folder(spark)}/keyword-{name}-{'-'.join([key, *fields])}-{files[:32]}"
+    store = keyword.Store(spark, folder)
+    if not versions.numbers(spark, f"{folder}/manifest"):
+        try:
+            store.write(docs, fields, key, strict=False)
+        except versions.Conflict:  # another has written it meanwhile
+            pass
+    return store.read()
+
+
+def hybrid(spark: SparkSession, queries: DataFrame, query_vectors: DataFrame, found: keyword.Index, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, fused_rank, fused_score) of both legs with the same k, keyword first.
 
-    docs(chunk_id, chunk_text); vectors(vec_id, embedding), vec_id being the chunk's id.
+    found: an index with field chunk_text; vectors(vec_id, embedding), vec_id being the chunk's id.
     """
-    found = keyword.search(queries, keyword.index(docs, ["chunk_text"]), k, {"chunk_text": 1.0})
+    found = keyword.search(queries, found, k, {"chunk_text": 1.0})
     near = vector_search.cosine_topk(spark, query_vectors, vectors, k)
     lists = [x.select("query_id", F.col(c).alias("chunk_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("position"), F.col("score").alias("retrieval_score"), F.lit(m).alias("retrieval_method")) for x, c, m in ((found, "id", "keyword"), (near, "vec_id", "semantic"))]
     return fusion.fused(*lists, k)

@@ -353,6 +353,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
 
 
+def _documents_index(spark: SparkSession, sf_dir: str) -> keyword.Index:
+    return flows.stored_index(_docs(spark, sf_dir), "documents", ["chunk_text"])
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -374,12 +378,12 @@ _KEYWORD = _bm25("SELECT doc_id AS id, text AS chunk_text FROM documents", "SELE
 
 @query(rf"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_SPLIT.format('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.index(_docs(spark, sf_dir), ["chunk_text"]).document_frequency.select("term", "df")
+    return _documents_index(spark, sf_dir).document_frequency.select("term", "df")
 
 
 @query(_KEYWORD)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.search(_questions(spark, sf_dir), keyword.index(_docs(spark, sf_dir), ["chunk_text"]), 5, {"chunk_text": 1.0})
+    return keyword.search(_questions(spark, sf_dir), _documents_index(spark, sf_dir), 5, {"chunk_text": 1.0})
 
 
 _FIELDS = {"title": 3.0, "source_url": 2.0, "raw_text": 1.0}
@@ -388,7 +392,7 @@ _FIELDS = {"title": 3.0, "source_url": 2.0, "raw_text": 1.0}
 @query(_bm25(f"SELECT document_id AS id, title, source_url, raw_text FROM ({CORPUS})", "SELECT s_suppkey AS query_id, concat('appeal ', p_name) AS text FROM supplier JOIN part ON p_partkey = s_suppkey", _FIELDS, 3))
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("appeal "), "p_name").alias("text"))
-    return keyword.search(asked, keyword.index(corpus(spark, sf_dir), list(_FIELDS), "document_id"), 3, _FIELDS)
+    return keyword.search(asked, flows.stored_index(corpus(spark, sf_dir), "corpus", list(_FIELDS), "document_id"), 3, _FIELDS)
 
 
 @query(
@@ -400,7 +404,7 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as questions over documents (keyword) and embeddings (vector), fused."""
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    out = flows.hybrid(spark, _questions(spark, sf_dir), _query_vectors(spark, sf_dir), _docs(spark, sf_dir), vecs)
+    out = flows.hybrid(spark, _questions(spark, sf_dir), _query_vectors(spark, sf_dir), _documents_index(spark, sf_dir), vecs)
     return out.select("query_id", "chunk_id", "retrieval_method", "retrieval_score", "fused_score", "fused_rank")
 
 

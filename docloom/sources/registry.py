@@ -1,14 +1,15 @@
-"""Registry of processed documents: a versioned Parquet snapshot, written whole and switched by a pointer row."""
+"""Registry of processed documents: Parquet snapshots, written whole and switched by numbered versions."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 # States of a document.
 STATES = ["pending", "in_progress", "completed", "failed", "skipped"]
 TEXTS = ["document_id", "content_hash", "title", "category", "source_url", "parser_version", "cleaner_version", "metadata_version", "chunker_version", "embedding_model", "embedding_model_version", "index_version", "processing_timestamp", "processing_status"]
@@ -71,31 +72,20 @@ def lookup(ids: DataFrame, registry: DataFrame) -> DataFrame:
     return ids.join(registry, "document_id", "left")
 
 
-def _newest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
-    """(version, snapshot) of the largest version; None before the first commit."""
-    try:
-        rows = spark.read.parquet(f"{folder}/pointer")
-    except AnalysisException:
-        return None
-    row = rows.select("version", "name").orderBy(F.desc("version")).first()
-    return None if row is None else (int(row.version), row["name"])
-
-
 def commit(spark: SparkSession, records: DataFrame, folder: str) -> int:
-    """Writes a new snapshot, then the pointer to it, under the next version number, which is returned; readers see the old or the new one, whole.
+    """Writes a new snapshot, then publishes it under the next version number, which is returned; readers see the old or the new one, whole.
 
-    Of two commits of one version the second fails, since its pointer exists.
+    Of two commits of one version the second raises versions.Conflict. One that dies half way leaves files that nobody reads, and the next commit goes on.
     """
     name = f"snapshot-{uuid.uuid4().hex}"
     records.write.parquet(f"{folder}/{name}")
-    version = 1 + (_newest(spark, folder) or (0, ""))[0]
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/pointer/version={version}")
-    return version
+    found = versions.read(spark, f"{folder}/pointer")
+    return versions.publish(spark, f"{folder}/pointer", 1 + (found[0] if found else 0), {"name": name})
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """The snapshot of the largest version."""
-    found = _newest(spark, folder)
+    found = versions.read(spark, f"{folder}/pointer")
     if found is None:
         raise ValueError("the registry has no snapshot")
-    return spark.read.parquet(f"{folder}/{found[1]}")
+    return spark.read.parquet(f"{folder}/{found[1]['name']}")

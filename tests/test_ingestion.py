@@ -52,6 +52,8 @@ def test_registry_versions_and_json(spark, tmp_path):
     for n, h in enumerate("abcd", 1):  # within one tick of the clock
         assert registry.commit(spark, spark.createDataFrame([("D1", h)], shape), store) == n
         assert registry.load(spark, store).first().content_hash == h
+    (tmp_path / "registry" / "pointer" / "version=5").mkdir()  # what a commit that died may leave
+    assert registry.commit(spark, spark.createDataFrame([("D1", "e")], shape), store) == 5
     old = spark.createDataFrame([("a", "1"), ("b", "1")], shape)
     new = spark.createDataFrame([("b", "2"), ("b", "3"), ("c", "1")], shape)
     assert sorted(map(tuple, registry.upsert(old, new).collect())) == [("a", "1"), ("b", "3"), ("c", "1")]
