@@ -3,11 +3,15 @@
 Detection is one regular expression per row. Detected entities (type, canonical form) are gathered once for the whole corpus, duplicates
 merged before the shuffle, and each gets a surrogate: a keyed hash of type, canonical form and attempt drives a replacement of the same type and
 format (letters by letters of the same case and script, digits by digits, separators kept; card and IBAN check digits and addresses stay
-valid, given names follow the gender of the title and the script; family names have endings that go with either gender, since one name
+valid, given names follow the gender of their title and the script; family names have endings that go with either gender, since one name
 serves both). Collision checks run over the corpus: a surrogate that equals any detected original of its type, or another entity's surrogate, goes to the next
 attempt, until none does, so distinct entities stay distinct. One entity has one surrogate wherever it stands, so
-references stay linked: canonical forms ignore case (mail, names) and separators (phones, cards, IBANs). A name that stands after a title
-is replaced in the whole text, with title or without.
+references stay linked: canonical forms ignore case (mail, names) and separators (phones, cards, IBANs).
+
+A name is what follows a title: any number of capitalised words, with initials and particles (van, de la) before them. Its words are entities each, of one kind whatever their
+title or place, so one word has one surrogate in the corpus; its gender and whether it is a given or a family name follow the most frequent of its titled places. Parts of hyphenated
+words are words of their own, particles stay, and initials move to another letter by a shift that the key tells. A word that stands after a title is replaced in its whole text, with
+title or without. After a title in capitals at most CAPITAL_WORDS words in capitals count, since a name can't be told from running capitals.
 
 Numbers in the form of a card or an IBAN count only if their check digits fit, so order numbers and the like stay.
 
@@ -17,6 +21,8 @@ equi-join on the entity (a very common entity is a skewed key, which Spark split
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +33,12 @@ TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
 TITLES_ANY = ["Dr", "Prof", "Professor", "Доктор", "Профессор"]
 TITLES = TITLES_M + TITLES_F + TITLES_ANY
+# Words between a given and a family name, which are no names themselves.
+PARTICLES = "von van vom zu zum zur af av de del della dello der den des di da do dos das du la las le los el al bin ibn ben ten ter te y e".split()
+#: Titles that mean something else in capitals.
+NOT_CAPITAL = ("Ms", "Sr")
+CAPITALS = [t.upper() for t in TITLES if t not in NOT_CAPITAL]
+CAPITAL_WORDS = 4
 # Every pattern stands where no letter or digit is before it; START says so once for all.
 START = r"(?<![\p{L}\p{N}])"
 MAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,20}"
@@ -48,12 +60,23 @@ GROUPS = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:(?:(?:[.-]|(?<!\d{5})(
 LOCAL = r"(?<![.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{1,4} \d{3,4} \d{3,4}|\(0\d{1,5}\) ?\d{3,4}[ -]?\d{2,5})(?![\p{L}\p{N}]|[.-]\d)"
 PHONE = NATIONAL + "|" + GROUPS % (4, r"|[.-]\d") + "|" + GROUPS % (3, "") + r"|\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])" + "|" + LOCAL
 WORD = r"\p{Lu}\p{L}*+(?:['’-]\p{L}{2,}+)*+(?!\p{N})"
-TITLE = "(?:" + "|".join(TITLES) + r")(?:\.(?= )|(?= ))"
-NAME = f"{TITLE}(?: {TITLE}){{0,2}}(?: {WORD}){{1,3}}"
+TITLE = "(?:" + "|".join(TITLES + CAPITALS) + r")(?:\.(?= )|(?= ))"
+INITIAL = r"\p{Lu}\."
+
+
+def _name_pattern(titles: list[str], word: str, particles: list[str], repeat: str) -> str:
+    """Titles, then words with initials and particles before them; no word is a title."""
+    title = "(?:" + "|".join(titles) + r")(?:\.(?= )|(?= ))"
+    between = "(?:" + "|".join(particles) + r")(?= )"
+    return f"{title}(?: {title})*+(?:(?: (?:{INITIAL}|{between}))*+ (?!{title}){word}){repeat}"
+
+
+CAPITAL_WORD = r"\p{Lu}{2,}+(?:['’-]\p{Lu}{2,}+)*+(?![\p{L}\p{N}])"
+NAME = _name_pattern(TITLES, WORD, PARTICLES, "++") + "|" + _name_pattern(CAPITALS, CAPITAL_WORD, [p.upper() for p in PARTICLES], f"{{1,{CAPITAL_WORDS}}}+")
 ENTITY = START + "(?:" + "|".join((MAIL, IBAN, SECRET, IPV6, IPV4, SSN, CARD, PHONE, NAME)) + ")"
 #: A text without any of these has no entity: mail sign, digits, secrets' words and titles all hold one.
 SIGN = "[@0-9]"
-HINTS = ["passw", "token", "secret", "api_key", *(t for t in TITLES if not any(t != other and other in t for other in TITLES))]
+HINTS = ["passw", "token", "secret", "api_key", *(t for t in TITLES + CAPITALS if not any(t != other and other in t for other in TITLES + CAPITALS))]
 
 # Alphabets (first and last code point, letters) and syllables of surrogates, by script.
 ALPHABETS = [
@@ -68,7 +91,7 @@ ALPHABETS = [
 SYLLABLES = {"latin": "ba be bo da de do fa ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va", "cyrillic": "ба бе бо ва да де до за ка ко ла ле ло ма ме мо на не но па по ра ре ро са се та те то фа ша ха"}
 #: Attempts from which surrogates of small spaces grow longer than their originals.
 LONGER = 4
-ENDINGS = {"latin": {"m": "n r s l", "f": "na ra la ia", "x": "man ford ley well"}, "cyrillic": {"m": "н р с л", "f": "на ра ла ия", "x": "ко дзе их ук"}}
+ENDINGS = {"latin": {"m": "n r s l", "f": "na ra la ia", "u": "en is am el", "x": "man ford ley well"}, "cyrillic": {"m": "н р с л", "f": "на ра ла ия", "u": "ан ей ай ен", "x": "ко дзе их ук"}}
 
 
 def _byte(i: Column | int) -> Column:
@@ -122,7 +145,9 @@ def _name() -> Column:
     cyrillic = F.col("canon").rlike(r"^\p{IsCyrillic}")
     either = lambda f: F.when(cyrillic, F.split(F.lit(f("cyrillic")), " ")).otherwise(F.split(F.lit(f("latin")), " "))
     syllables = either(lambda script: SYLLABLES[script])
-    ending = F.when(F.col("kind") == "name_m", either(lambda s: ENDINGS[s]["m"])).when(F.col("kind") == "name_f", either(lambda s: ENDINGS[s]["f"])).otherwise(either(lambda s: ENDINGS[s]["x"]))
+    ending = either(lambda s: ENDINGS[s]["x"])
+    for style in "mfu":
+        ending = F.when(F.col("style") == style, either(lambda s, style=style: ENDINGS[s][style])).otherwise(ending)
     return F.concat(*(_pick(syllables, i) for i in (0, 2, 4)), F.when(F.col("attempt") > 1, _pick(syllables, 6)).otherwise(""), _pick(ending, 8))
 
 
@@ -133,7 +158,7 @@ def _longer(letters: str, since: int) -> Column:
 
 
 def proposed(entities: DataFrame, key: str) -> DataFrame:
-    """entities(kind, canon, attempt) with new: the surrogate, in canonical form, for an attempt number (from 0).
+    """entities(kind, canon, style, attempt) with new: the surrogate, in canonical form, for an attempt number (from 0).
 
     Hash, bytes and masked part are columns of their own, so each is computed once a row.
     """
@@ -165,13 +190,13 @@ def proposed(entities: DataFrame, key: str) -> DataFrame:
     fiction = (F.length("part") == 10) & (attempt < 8) & (F.substr("part", F.lit(4), F.lit(3)) == "555")
     phone = F.concat("front", F.when(fiction, F.concat((2 + F.pmod(_byte(30), F.lit(8))).cast("string"), F.substr("mask", F.lit(2), F.lit(2)), F.lit("555"), F.substr("mask", F.lit(7)))).otherwise(area))
     new = F.when(kind == "mail", mail).when(kind == "ip", address).when(kind == "card", F.concat("front", "mask", last.cast("string"))).when(kind == "iban", F.concat("front", check, "mask")).when(kind == "phone", phone)
-    new = new.when(kind.startswith("name_") & canon.rlike(r"^[\p{IsCyrillic}\p{IsLatin}]"), _name()).otherwise(F.concat("front", "mask"))
+    new = new.when((kind == "name") & canon.rlike(r"^[\p{IsCyrillic}\p{IsLatin}]"), _name()).otherwise(F.concat("front", "mask"))
     # Cards and IBANs keep their length (their space is large), IPv4 addresses theirs; a short IPv6 address gets another group.
     group = F.concat(F.lit(":"), F.substring("seed", 5, 4))
     new = F.when((kind == "ip6") & (attempt >= LONGER) & (F.size(F.split(canon, ":")) < 8), F.concat(new, group)).otherwise(new)
     name_more = F.when(canon.rlike(r"^\p{IsCyrillic}"), _longer(ALPHABETS[3][2], LONGER)).otherwise(_longer(ALPHABETS[0][2], LONGER))
-    new = F.when(kind.isin("phone", "ssn", "secret"), F.concat(new, _longer("0123456789", LONGER))).when(kind.startswith("name_"), F.concat(new, name_more)).otherwise(new)
-    return parted.withColumn("new", F.when(kind.startswith("name_") | (kind == "mail"), F.lower(new)).otherwise(new)).select(*entities.columns, "new")
+    new = F.when(kind.isin("phone", "ssn", "secret"), F.concat(new, _longer("0123456789", LONGER))).when(kind == "name", F.concat(new, name_more)).otherwise(new)
+    return parted.withColumn("new", F.when(kind.isin("name", "mail"), F.lower(new)).otherwise(new)).select(*entities.columns, "new")
 
 
 def kind_of(raw: Column) -> Column:
@@ -196,28 +221,57 @@ def _iban(raw: Column) -> Column:
     return mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
 
 
-def _part(kind: Column, canon: Column, raw: Column) -> Column:
-    return F.struct(kind.cast("string").alias("kind"), canon.cast("string").alias("canon"), raw.alias("raw"))
+#: An entity in a match: what stands between it and the one before, and for names in titled places the style: m, f, u (given names) or x (family name).
+PART = "struct<kind:string,canon:string,raw:string,sep:string,style:string>"
+
+
+def _part(kind: Column, canon: Column, raw: Column, sep: Column, style: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), canon.cast("string").alias("canon"), raw.alias("raw"), sep.alias("sep"), style.cast("string").alias("style"))
 
 
 def _name_parts(raw: Column) -> Column:
-    """(kind, canon, raw) of the words of a name with titles; titles have kind null, the last word is the family name."""
-    word = F.split(raw, " ")
-    bare = lambda w: F.rtrim(w, F.lit("."))
-    gender = F.when(F.exists(word, lambda w: bare(w).isin(TITLES_M)), "name_m").when(F.exists(word, lambda w: bare(w).isin(TITLES_F)), "name_f").otherwise("name_u")
+    """The words of a name with titles; titles, particles and initials have kind null. The last word, with all its hyphened parts, is the family name."""
+    words = F.split(raw, " ")
+    bare = lambda w: F.upper(F.rtrim(w, F.lit(".")))
+    says = lambda titles: F.exists(words, lambda w: bare(w).isin([t.upper() for t in titles]))
+    gender = F.when(says(TITLES_M), "m").when(says(TITLES_F), "f").otherwise("u")
     none = F.lit(None)
-    return F.transform(word, lambda w, i: F.when(bare(w).isin(TITLES), _part(none, none, w)).otherwise(_part(F.when(i == F.size(word) - 1, "name_x").otherwise(gender), F.lower(w), w)))
+
+    def word(w: Column, i: Column) -> Column:
+        style = F.when(i == F.size(words) - 1, "x").otherwise(gender)
+        before = lambda j: F.when(j > 0, "-").when(i > 0, " ").otherwise("")
+        stays = bare(w).isin([t.upper() for t in TITLES]) | F.lower(w).isin(PARTICLES) | w.rlike(f"^{INITIAL}$")
+        return F.when(stays, F.array(_part(none, none, w, before(F.lit(0)), none))).otherwise(F.transform(F.split(w, "-"), lambda p, j: _part(F.lit("name"), F.lower(p), p, before(j), style)))
+
+    return F.flatten(F.transform(words, word))
 
 
 def _parts(raw: Column, names: Column) -> Column:
-    """The entities of a match: array of (kind, canon, raw), a kind null staying as it is. names: the text's names, which count without a title too."""
-    known = F.filter(names, lambda p: p["canon"] == F.lower(raw))
-    kind = kind_of(raw)
+    """The entities of a match, a kind null staying as it is. names: the text's names, which count without a title too."""
+    kind, none = kind_of(raw), F.lit(None)
     canon = F.when(kind.isin("mail", "ip6"), F.lower(raw)).when(kind.isin("card", "phone"), F.regexp_replace(raw, "[^0-9+]", "")).when(kind == "iban", F.regexp_replace(raw, " ", "")).otherwise(raw)
-    single = F.when(F.size(known) > 0, _part(F.get(known, F.lit(0))["kind"], F.lower(raw), raw)).otherwise(_part(kind, canon, raw))
+    known = F.exists(names, lambda p: p["canon"] == F.lower(raw))
+    single = F.when(known, _part(F.lit("name"), F.lower(raw), raw, F.lit(""), none)).otherwise(_part(kind, canon, raw, F.lit(""), none))
     return F.when(kind == "name", _name_parts(raw)).otherwise(F.array(single))
 
 
+def styled(seen: DataFrame) -> DataFrame:
+    """(kind, canon, style) of every entity of seen(kind, canon, style): a name that is mostly a family name is one (x), else its gender is that of most of its titles (u for neither)."""
+    votes = seen.groupBy("kind", "canon").agg(*[F.count_if(F.col("style") == v).alias(v) for v in "mfux"])
+    style = F.when(F.col("x") > F.col("m") + F.col("f") + F.col("u"), "x").when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("u")
+    return votes.select("kind", "canon", F.when(F.col("kind") == "name", style).alias("style"))
+
+
+def shifted(raw: Column, key: str) -> Column:
+    """An initial with another letter of its alphabet, by a shift that the key tells; other scripts stay."""
+    out = raw
+    for _, _, letters in (ALPHABETS[1], ALPHABETS[4]):
+        shift = 1 + int(hashlib.sha256(f"{key}:initials".encode()).hexdigest(), 16) % (len(letters) - 1)
+        moved = F.translate(raw, letters, letters[shift:] + letters[:shift])
+        out = F.when(F.translate(F.substr(raw, F.lit(1), F.lit(1)), letters, "") == "", moved).otherwise(out)
+    return out
+
+
 def detected(rows: DataFrame, text: Column) -> DataFrame:
     """rows with parts (of every match in order, its entities) and pattern (what found them); both null where there is none.
 
@@ -228,7 +282,7 @@ def detected(rows: DataFrame, text: Column) -> DataFrame:
         hint = hint | text.contains(word)
     once = rows.withColumn("first", F.when(hint, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))))
     titled = F.flatten(F.transform(F.filter("first", lambda m: m.rlike(rf"^{TITLE} ")), _name_parts))
-    named = once.withColumn("names", F.coalesce(F.filter(titled, lambda p: p["kind"].isNotNull()), F.array().cast("array<struct<kind:string,canon:string,raw:string>>")))
+    named = once.withColumn("names", F.coalesce(F.filter(titled, lambda p: p["kind"].isNotNull()), F.array().cast(f"array<{PART}>")))
     bare = F.array_join(F.array_distinct(F.flatten(F.transform("names", lambda p: F.array(p["raw"], F.upper(p["raw"]))))), "|")
     pattern = F.when(F.size("names") > 0, F.concat(F.lit(ENTITY + "|" + START + "(?:"), bare, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ENTITY))
     both = named.withColumn("pattern", F.when(F.size("first") > 0, pattern))
@@ -245,19 +299,20 @@ def formatted(kind: Column, raw: Column, new: Column) -> Column:
 
     spaced = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), put, lambda acc: F.concat(acc["t"], F.substr(new, acc["i"])))
     name = F.when(F.length(raw) > 1, F.when(F.upper(raw) == raw, F.upper(new)).otherwise(F.initcap(new))).otherwise(F.upper(new))
-    return F.when(kind.isin("phone", "card", "iban"), spaced).when(kind.startswith("name_"), name).when(kind.isin("mail", "ip6") & (F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(new)).otherwise(new)
+    return F.when(kind.isin("phone", "card", "iban"), spaced).when(kind == "name", name).when(kind.isin("mail", "ip6") & (F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(new)).otherwise(new)
 
 
 def surrogates(spark: SparkSession, entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """(kind, canon, new) of distinct entities(kind, canon); new is distinct within a kind and equals no original of it.
+    """(kind, canon, new) of distinct entities(kind, canon) with their style, if there is one; new is distinct within a kind and equals no original of it.
 
     Mail domains grow with the attempt, short phones, numbers, secrets and names from attempt LONGER on, so their space is not exhausted. Raises
     RuntimeError if collisions remain after the given rounds: only cards and addresses have a fixed space.
     """
-    mine = materialise(spark, entities.distinct())
+    style = F.max("style") if "style" in entities.columns else F.lit(None).cast("string")
+    mine = materialise(spark, entities.groupBy("kind", "canon").agg(style.alias("style")))
     originals = mine.select("kind", F.col("canon").alias("new"), F.lit(True).alias("taken"))
     kept = None
-    left = mine.withColumn("attempt", F.lit(0))
+    left = mine.select("kind", "canon", "style", F.lit(0).alias("attempt"))
     for _ in range(rounds):
         tried = materialise(spark, proposed(left, key))
         first = tried.groupBy("kind", "new").agg(F.min("canon").alias("owner"))
@@ -267,10 +322,10 @@ def surrogates(spark: SparkSession, entities: DataFrame, key: str, rounds: int =
         else:
             checked = checked.withColumn("used", F.lit(None).cast("boolean"))
         good = (F.col("owner") == F.col("canon")) & F.col("taken").isNull() & F.col("used").isNull()
-        checked = materialise(spark, checked.select("kind", "canon", "attempt", "new", good.alias("good")))
+        checked = materialise(spark, checked.select("kind", "canon", "style", "attempt", "new", good.alias("good")))
         now = checked.filter("good").select("kind", "canon", "new")
         kept = now if kept is None else kept.unionByName(now)
-        left = checked.filter("not good").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        left = checked.filter("not good").select("kind", "canon", "style", (F.col("attempt") + 1).alias("attempt"))
         if left.isEmpty():
             return kept
     raise RuntimeError("surrogates still collide")
@@ -286,15 +341,16 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: str, text: str = "te
     found = materialise(spark, found)
     clean = found.filter("not some").select("row.*")
     hit = found.filter("some")
-    seen = hit.select("rid", F.posexplode("parts").alias("pos", "part")).select("rid", "pos", F.posexplode("part").alias("sub", "e")).select("rid", "pos", "sub", "e.kind", "e.canon", "e.raw")
-    known = surrogates(spark, seen.filter("kind is not null").select("kind", "canon"), key)
-    new = F.coalesce(formatted(F.col("kind"), F.col("raw"), F.col("new")), F.col("raw"))
+    seen = hit.select("rid", F.posexplode("parts").alias("pos", "part")).select("rid", "pos", F.posexplode("part").alias("sub", "e")).select("rid", "pos", "sub", "e.*")
+    known = surrogates(spark, styled(seen.filter("kind is not null")), key)
+    stays = F.when(F.col("raw").rlike(f"^{INITIAL}$"), shifted(F.col("raw"), key)).otherwise(F.col("raw"))
+    new = F.coalesce(formatted(F.col("kind"), F.col("raw"), F.col("new")), stays)
     # What stays as it is joins nothing; it keeps keys that spread.
     joined = seen.withColumn("canon", F.coalesce("canon", F.concat(F.lit("\x00"), F.col("rid").cast("string")))).withColumn("kind", F.coalesce("kind", F.lit(""))).join(known, ["kind", "canon"], "left")
-    whole = joined.select("rid", F.struct("pos", "sub", new.alias("new")).alias("p")).groupBy("rid").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    whole = joined.select("rid", F.struct("pos", "sub", "sep", new.alias("new")).alias("p")).groupBy("rid").agg(F.array_sort(F.collect_list("p")).alias("p"))
 
     def glue(acc: Column, p: Column) -> Column:
-        return F.when(p["sub"] == 0, F.concat(acc, F.array(p["new"]))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), p["new"]))))
+        return F.when(p["sub"] == 0, F.concat(acc, F.array(p["new"]))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), p["sep"], p["new"]))))
 
     subs = whole.select("rid", F.aggregate("p", F.array().cast("array<string>"), glue).alias("subs"))
     between = F.split(F.col("row")[text], F.col("pattern"), -1)
