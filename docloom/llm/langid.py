@@ -8,12 +8,14 @@ Presence vectors are hashed into ``BUCKETS`` columns, so scoring a batch is thre
 
 Training reads at most ``per_lang`` texts of each of the ``max_langs`` most frequent languages (a bounded sample, chosen by a hash of the document id);
 their presence vectors are computed on the executors and packed to ``BUCKETS / 8`` bytes each, which bounds what
-reaches the driver: languages x per_lang x 2 KiB. Prediction covers every row and its whole text, in one pass without
+reaches the driver: languages x per_lang x 2 KiB, some 210 MB at most and three times that while they are put in order; the fit keeps sums over blocks of them. Languages
+beyond the bound are counted in the log. Prediction covers every row and its whole text, in one pass without
 a shuffle.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import sampled
+from .shared import materialise, sampled
 from .textscan import LOWER, U64, utf8
 
 BUCKETS = 1 << 14
@@ -31,6 +33,8 @@ PER_LANG = 400
 MAX_LANGS = 256
 LANDMARKS = 160
 RIDGE = 0.05
+#: Rows that are unpacked at a time when fitting.
+BLOCK = 1024
 UND = "und"
 
 _BYTE = np.arange(256)
@@ -86,29 +90,39 @@ class Model:
         return k @ self.weights + self.bias
 
 
-def fit(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nystroem map and one-versus-rest kernel ridge regression on presence rows x with languages y."""
+def fit(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, packed: bool = False) -> Model:
+    """Nystroem map and one-versus-rest kernel ridge regression on presence rows x (packed: eight a byte) with languages y.
+
+    Rows are unpacked BLOCK at a time, and only sums over them are kept, so memory is that of x and of landmarks x BUCKETS numbers, however many rows there are.
+    """
     langs = sorted(set(y))
     if not langs:
         return Model([], np.zeros((1, BUCKETS), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
-    label = np.array([langs.index(v) for v in y])
+    label = np.searchsorted(np.array(langs, dtype=object), np.array(y, dtype=object))
     by_lang = [list(np.flatnonzero(label == c)) for c in range(len(langs))]
     turn = [i for group in zip(*(g + [None] * (max(map(len, by_lang)) - len(g)) for g in by_lang), strict=True) for i in group if i is not None]
-    chosen = x[turn[: max(landmarks, len(langs))]].astype(np.float32)
-    f = x.astype(np.float32)
+    rows = lambda at: (np.unpackbits(x[at], axis=1) if packed else x[at]).astype(np.float32)
     norm = lambda a: np.sqrt(np.maximum(a.sum(axis=1), 1))
-    kmm = (chosen @ chosen.T) / norm(chosen)[:, None] / norm(chosen)
-    knm = (f @ chosen.T) / norm(f)[:, None] / norm(chosen)
-    value, vector = np.linalg.eigh(kmm.astype(np.float64))
+    chosen = rows(turn[: max(landmarks, len(langs))])
+    size = norm(chosen)
+    value, vector = np.linalg.eigh(((chosen @ chosen.T) / size[:, None] / size).astype(np.float64))
     sound = value > 1e-6 * value[-1]
     white = vector[:, sound] / np.sqrt(value[sound])
-    z = knm.astype(np.float64) @ white
-    target = np.where(label[:, None] == np.arange(len(langs)), 1.0, 0.0)
     weight = 1 / np.bincount(label, minlength=len(langs))[label]
     weight *= len(label) / weight.sum()
-    mean_z, mean_t = np.average(z, axis=0, weights=weight), np.average(target, axis=0, weights=weight)
-    zc, tc = z - mean_z, target - mean_t
-    beta = np.linalg.solve((zc * weight[:, None]).T @ zc + ridge * np.eye(z.shape[1]), (zc * weight[:, None]).T @ tc)
+    n = white.shape[1]
+    zz, zt, mean_z, mean_t = np.zeros((n, n)), np.zeros((n, len(langs))), np.zeros(n), np.zeros(len(langs))
+    for a in range(0, len(label), BLOCK):
+        f, w = rows(slice(a, a + BLOCK)), weight[a : a + BLOCK]
+        z = ((f @ chosen.T) / norm(f)[:, None] / size).astype(np.float64) @ white
+        t = np.where(label[a : a + BLOCK, None] == np.arange(len(langs)), 1.0, 0.0)
+        zz += (z * w[:, None]).T @ z
+        zt += (z * w[:, None]).T @ t
+        mean_z += w @ z
+        mean_t += w @ t
+    total = weight.sum()
+    mean_z, mean_t = mean_z / total, mean_t / total
+    beta = np.linalg.solve(zz - total * np.outer(mean_z, mean_z) + ridge * np.eye(n), zt - total * np.outer(mean_z, mean_t))
     return Model(langs, chosen, (white @ beta).astype(np.float32), (mean_t - mean_z @ beta).astype(np.float32))
 
 
@@ -126,7 +140,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     usable rows gives a model without languages.
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("k"), "lang", "text").filter("k is not null and lang is not null and text is not null")
-    learned = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    sizes = materialise(docs.sparkSession, rows.groupBy("lang").count())
+    learned = sizes.orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    out = sizes.join(F.broadcast(learned), "lang", "left_anti").agg(F.count("*").alias("n"), F.sum("count").alias("rows")).first()
+    if out.n:
+        logging.getLogger(__name__).warning("%d languages with %d labelled rows are not learned: max_langs is %d", out.n, out.rows, max_langs)
     # At most max_langs languages and max_langs x per_lang documents: both broadcasts are bounded.
     chosen = sampled(rows.select("k", "lang").join(F.broadcast(learned), "lang", "left_semi"), "lang", "k", per_lang).select("k", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["k", "lang"], "left_semi").groupBy("k", "lang").agg(F.min("text").alias("text"))
@@ -134,8 +152,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     if not packed.num_rows:
         return fit(np.zeros((0, BUCKETS), np.uint8), [])
     table = sorted(zip(packed.column("lang").to_pylist(), packed.column("bits").to_pylist(), strict=True))
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in table), dtype=np.uint8).reshape(len(table), -1), axis=1)
-    return fit(x, [v for v, _ in table])
+    del packed
+    langs = [v for v, _ in table]
+    bits = np.frombuffer(b"".join(b for _, b in table), dtype=np.uint8).reshape(len(table), -1)
+    del table
+    return fit(bits, langs, packed=True)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -97,3 +97,30 @@ def test_long_runs_and_clashing_columns(spark):
     assert {r.doc_id: r.n_tokens for r in lengths.encoded_lengths(spark, docs).collect()} == {i: len(encode(t)) for i, t in enumerate(texts)}
     got = {r.doc_id: (r.n_words, r.n_base, r.labels) for r in licenses.digest(licenses.scan(spark, docs)).collect()}
     assert got == {0: (1, 0, ""), 1: (1, 0, ""), 2: (60000, 0, ""), 3: (12000, 3000, "mit")}
+
+
+def test_language_fit_keeps_sums_only(monkeypatch):
+    """Packed rows in blocks of any size give the same model, and the fit holds little more than the rows themselves."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    y = [f"l{i % 40:02d}" for i in range(4000)]
+    mean = rng.random((40, langid.BUCKETS)) < 0.02
+    x = (mean[[int(v[1:]) for v in y]] & (rng.random((4000, langid.BUCKETS)) < 0.5)).astype(np.uint8)
+    bits = np.packbits(x, axis=1)
+    whole = langid.fit(x, y)
+    monkeypatch.setattr(langid, "BLOCK", 300)
+    tracemalloc.start()
+    parts = langid.fit(bits, y, packed=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts.langs == whole.langs and np.allclose(parts.weights, whole.weights, atol=1e-3) and np.allclose(parts.bias, whole.bias, atol=1e-4)
+    assert peak < 120 << 20 < x.nbytes * 2
+    assert (parts.scores(x[:200]).argmax(axis=1) == [parts.langs.index(v) for v in y[:200]]).mean() > 0.95
+
+
+def test_languages_beyond_the_bound_are_logged(spark, caplog):
+    rows = spark.createDataFrame([(i, f"text {i}", f"l{i % 3}") for i in range(30)] + [(99, "more", "l0")], "doc_id long, text string, lang string")
+    with caplog.at_level("WARNING"):
+        assert langid.train(rows, max_langs=2).langs == ["l0", "l1"]
+    assert "1 languages with 10 labelled rows" in caplog.text
