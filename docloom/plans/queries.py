@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..functions.spans import spread
-from ..operators import answers, evaluation, fusion, keyword, metadata, sections, standardise, vector_search
+from ..operators import answers, evaluation, fusion, keyword, metadata, scans, sections, standardise, vector_search
 from ..sources import catalog, files, registry
 from ..streaming.ingest import event_windows
 from . import flows
@@ -544,3 +544,18 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the streaming aggregation over the whole table."""
     return event_windows(table(spark, sf_dir, "events")).select(F.unix_timestamp("start").alias("hour"), "event_type", "n_events", "total")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS n, sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM conversations),
+ p AS (SELECT conv_id, turn, role, CAST(coalesce(b, 0) AS BIGINT) AS page_start, CAST(coalesce(b, 0) + n AS BIGINT) AS page_end FROM t),
+ c AS (SELECT conv_id, unnest(generate_series(0, max(page_end) - 1, 100)) AS position FROM p GROUP BY conv_id)
+SELECT conv_id, CAST(position AS BIGINT) AS position, turn, role, page_start FROM c JOIN p USING (conv_id) WHERE page_start <= position AND position < page_end""")
+def turn_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as its pages: which one holds every hundredth character of the whole."""
+    turns = table(spark, sf_dir, "conversations")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    placed = scans.before(turns, "conv_id", ["turn", "role", "text"], size, "page_start")
+    pages = placed.select("conv_id", "turn", "role", "page_start", (F.col("page_start") + size).alias("page_end")).filter("page_end > page_start")
+    first = F.ceil(F.col("page_start") / 100) * 100
+    points = pages.filter(first < F.col("page_end")).select("conv_id", F.explode(F.sequence(first, F.col("page_end") - 1, F.lit(100).cast("long"))).alias("position"))
+    return scans.located(points, pages, "conv_id", start="page_start", end="page_end").select("conv_id", "position", "turn", "role", "page_start")

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation
+from docloom.operators import evaluation, scans
 
 
 @pytest.fixture()
@@ -70,5 +70,28 @@ def test_marks_over_ranges(spark, ranges):
 def test_one_run_is_many_tasks(spark, ranges):
     """All rows of one key: no task holds more than a part of them."""
     frame = spark.range(20000).select(F.lit("x").alias("k"), F.col("id").alias("i"), F.lit("FAILED").alias("status"))
-    sizes = [r.n for r in evaluation._in_ranges(frame, "k", ["i"]).groupBy("_range").agg(F.count("*").alias("n")).collect()]
+    sizes = [r.n for r in scans.in_ranges(frame, "k", ["i"]).groupBy("_range").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 1 and max(sizes) < 20000 * 0.7
+
+
+def test_running_totals_over_ranges(spark, ranges):
+    r = random.Random(4)
+    rows = [(r.choice(["x", "x", "x", "y", None]), i, r.choice([None, 0, 3, 7])) for i in range(400)]
+    want, total = [], {}
+    for k, i, v in rows:
+        want.append((k, i, v, total.get(k, 0)))
+        total[k] = total.get(k, 0) + (v or 0)
+    found = scans.before(spark.createDataFrame(rows, "k string, i int, v int").repartition(5), "k", ["i"], F.col("v"), "sum")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_points_in_intervals(spark, closed):
+    """Nested, empty, huge and negative intervals, hot keys, null keys; and no interval is copied to more than two bins."""
+    r = random.Random(5)
+    spans = [(r.choice("aab"), a, a + r.choice([0, 1, 5, 70, 1000, 20000, 1 << 40]), i) for i in range(300) for a in [r.randrange(0, 30000)]] + [(None, 0, 9, 900), ("a", None, 9, 901), ("a", -5, 9, 902), ("a", 9, 3, 903)]
+    points = [(r.choice("aabc"), r.choice([r.randrange(0, 50000), 1 << 39])) for _ in range(200)] + [(None, 3), ("a", None)]
+    want = [(k, p, a, b, i) for k, p in points for q, a, b, i in spans if k is not None and k == q and None not in (p, a) and 0 <= a <= p and (p <= b if closed else p < b)]
+    found = scans.located(spark.createDataFrame(points, "k string, position long"), spark.createDataFrame(spans, "k string, start long, end long, n int"), "k", closed=closed)
+    assert sorted(map(tuple, found.select("k", "position", "start", "end", "n").collect())) == sorted(want)
+    assert scans.located(spark.createDataFrame(points, "k string, position long"), spark.createDataFrame([], "k string, start long, end long, n int"), "k").count() == 0
