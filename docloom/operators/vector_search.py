@@ -34,14 +34,18 @@ def one_dimension(rows: DataFrame) -> DataFrame:
 
 
 def upsert(store: DataFrame, rows: DataFrame, dimension: int) -> DataFrame:
-    """store with the points of all documents in rows replaced by those in rows.
+    """store with the points of all documents in rows, and those of the ids in rows, replaced by those in rows; ids are unique after it if they were in store.
 
     Raises ValueError if a new vector's length isn't dimension, before anything is joined.
     """
     found = one_dimension(rows).first()
     if found.low is not None and (found.low, found.high) != (dimension, dimension):
         raise ValueError(f"vectors of {found.low} to {found.high} components where {dimension} are declared")
-    return store.join(rows.select("document_id").distinct(), "document_id", "left_anti").select(*store.columns).unionByName(rows.select(*store.columns))
+    columns = [c for c in store.columns if c != "id"]
+    # One row an id: of several new ones the largest by its other columns.
+    new = rows.groupBy("id").agg(F.max(F.struct(*columns)).alias("r")).select("id", "r.*")
+    kept = store.join(rows.select("document_id").distinct(), "document_id", "left_anti").join(new.select("id"), "id", "left_anti")
+    return kept.select(*store.columns).unionByName(new.select(*store.columns))
 
 
 def hashed_embedding(docs: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:

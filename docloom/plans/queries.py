@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..functions.spans import spread
 from ..operators import answers, evaluation, fusion, keyword, metadata, scans, sections, standardise, vector_search
-from ..sources import catalog, files, registry
+from ..sources import catalog, files, registry, tables
 from ..streaming.ingest import event_windows
 from . import flows
 from .fixtures import CORPUS, corpus
@@ -559,3 +560,19 @@ def turn_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.ceil(F.col("page_start") / 100) * 100
     points = pages.filter(first < F.col("page_end")).select("conv_id", F.explode(F.sequence(first, F.col("page_end") - 1, F.lit(100).cast("long"))).alias("position"))
     return scans.located(points, pages, "conv_id", start="page_start", end="page_end").select("conv_id", "position", "turn", "role", "page_start")
+
+
+_LISTED = f"""SELECT CAST(substr(document_id, 2) AS INT) AS n, document_id, title, category, source_url FROM ({CORPUS})"""
+# Of every seven rows one lacks fields, of every eleven one has more.
+_LINE = "concat(document_id, ',', title, ',2001,', category, ',', source_url, CASE WHEN n % 7 = 0 THEN '' WHEN n % 11 = 0 THEN concat(',', document_id, '.pdf,,') ELSE concat(',', document_id, '.pdf,') END)"
+
+
+@query(f"SELECT {_LINE} AS record, 'wrong number of fields' AS reason FROM ({_LISTED}) WHERE n % 7 = 0 OR n % 11 = 0")
+def catalog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' catalogue as a CSV file, some of whose rows have too few or too many fields: these, whole, with the reason."""
+    listed = corpus(spark, sf_dir).select(F.substring("document_id", 2, 20).cast("int").alias("n"), "document_id", "title", "category", "source_url")
+    lines = listed.select(F.expr(_LINE).alias("value"))
+    path = f"{tables.shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    # Every file of a folder begins with the header.
+    lines.withColumnRenamed("value", ",".join(catalog.COLUMNS)).write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return catalog.parted(spark, path)[1]

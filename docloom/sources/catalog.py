@@ -7,21 +7,39 @@ from pyspark.sql import functions as F
 
 # Columns and categories.
 COLUMNS = ["document_id", "title", "year", "category", "source_url", "filename", "summary"]
+RECORD = "_record"
 CATEGORIES = ["acts", "judgments", "pov", "tax"]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue CSV as text columns. Raises ValueError unless the header is exactly the seven columns, each once; a row with too many or too few fields fails."""
+def _names(spark: SparkSession, path: str) -> list[str]:
     header = spark.read.option("header", False).csv(path).limit(1).first()
-    names = [] if header is None else [(v or "").lstrip("﻿") for v in header]
+    names = [] if header is None else [(v or "").lstrip("\ufeff") for v in header]
     if sorted(names) != sorted(COLUMNS):
         raise ValueError(f"catalogue header must be {COLUMNS}, found {names}")
-    rows = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    return names
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue CSV as text columns. Raises ValueError unless the header is exactly the seven columns, each once; a row with too many or too few fields fails."""
+    shape = ", ".join(f"{n} string" for n in _names(spark, path))
+    rows = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).schema(shape).csv(path)
     if rows.isEmpty():
         raise ValueError("the catalogue has no rows")
     return rows.select(*COLUMNS)
 
 
+def parted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(sound rows, year as int; rejects(record, reason)) of the catalogue CSV, whose header must be as for read().
+
+    A row with too many or too few fields, or one that breaks a rule, is a reject with its whole record; the others go on.
+    """
+    shape = ", ".join(f"{n} string" for n in [*_names(spark, path), RECORD])
+    rows = spark.read.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", RECORD).schema(shape).csv(path)
+    marked = checked(rows).withColumn("reason", F.when(F.col(RECORD).isNotNull(), "wrong number of fields").otherwise(F.col("reason")))
+    record = F.coalesce(F.col(RECORD), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLUMNS]))
+    return marked.filter("reason is null").select(*COLUMNS), marked.filter("reason is not null").select(record.alias("record"), "reason")
+
+
 def stripped(x: Column) -> Column:
     """Not null, not empty, no Unicode space at either end."""
     return F.coalesce(x.rlike(r"(?Us)^\S(.*\S)?$"), F.lit(False))

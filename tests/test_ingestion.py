@@ -124,6 +124,18 @@ def test_vector_upsert_checks_dimensions(spark):
     with pytest.raises(ValueError):
         vector_search.upsert(store, new, 3)
     assert vector_search.upsert(store, new.filter("false"), 2).count() == 3
+    # A new id twice, and an id that was another document's: one point each.
+    twice = spark.createDataFrame([("9", "a", [2.0, 2.0]), ("9", "a", [3.0, 0.0]), ("3", "c", [4.0, 4.0])], shape)
+    assert sorted((r.id, r.document_id, r.embedding) for r in vector_search.upsert(store, twice, 2).collect()) == [("3", "c", [4.0, 4.0]), ("9", "a", [3.0, 0.0])]
+
+
+def test_catalogue_rejects(spark, tmp_path):
+    path = tmp_path / "catalogue.csv"
+    head = ",".join(catalog.COLUMNS)
+    path.write_text(f'{head}\nD1,T,2001,tax,u,a.pdf,"s, t"\nD2,T,2001,tax,u\nD3,T,2001,tax,u,a.pdf,s,more\nD4,T,0,tax,u,b.pdf,\n')
+    rows, rejects = catalog.parted(spark, str(path))
+    assert [(r.document_id, r.year, r.summary) for r in rows.collect()] == [("D1", 2001, "s, t")]
+    assert {(r.record[:2], r.reason) for r in rejects.collect()} == {("D2", "wrong number of fields"), ("D3", "wrong number of fields"), ("D4", "year not positive")}
 
 
 def test_golden_set(spark, tmp_path):
