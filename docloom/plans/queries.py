@@ -16,6 +16,9 @@ from ..streaming.ingest import event_windows
 from . import flows
 from .fixtures import CORPUS, corpus
 
+#: Tokens of a chunk and of the overlap of two, and both for short chunks.
+MOST, OVERLAP, TIGHT = 448, 64, (90, 12)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -202,8 +205,7 @@ _FIRMS = r"list_transform(regexp_extract_all(raw_text, '\b(?:[A-Z][\w&.,''-]*(?:
 _SHOWN = lambda a: f"CASE WHEN len({a}) = 0 THEN 'None identified' ELSE array_to_string({a}[1:{metadata.MOST_ITEMS}], '; ') END"
 
 
-@query(
-    rf"""WITH a AS (SELECT *, CASE WHEN category = 'judgments' THEN list_transform({_JUDGED}, lambda n: {_TITLE.format("n")}) ELSE [] END AS js, {_CITES} AS cs, list_transform(list_sort(list_filter(list_concat([{_PLACED}], {_FIRMS}), lambda e: e.at IS NOT NULL)), lambda e: e.name) AS es,
+_HEADER = rf"""WITH a AS (SELECT *, CASE WHEN category = 'judgments' THEN list_transform({_JUDGED}, lambda n: {_TITLE.format("n")}) ELSE [] END AS js, {_CITES} AS cs, list_transform(list_sort(list_filter(list_concat([{_PLACED}], {_FIRMS}), lambda e: e.at IS NOT NULL)), lambda e: e.name) AS es,
   list_filter({metadata.KEYWORDS}, lambda k: contains(lower(raw_text), k)) AS ks FROM ({_COURT})),
  b AS (SELECT *, {_DISTINCT.format("js")} AS names, {_DISTINCT.format("cs")} AS cites, {_DISTINCT.format("es")} AS met FROM a),
  d AS (SELECT *, list_filter(names, lambda n: len(list_filter(names, lambda o: o <> n AND list_contains(string_split(o, ' '), n))) = 0) AS judges,
@@ -212,7 +214,9 @@ _SHOWN = lambda a: f"CASE WHEN len({a}) = 0 THEN 'None identified' ELSE array_to
  r AS (SELECT *, list_concat(CASE WHEN court IS NULL THEN [] ELSE [document_id || ' -heard_in-> ' || court] END, list_transform(judges, lambda o: document_id || ' -presided_by-> ' || o), list_transform(cites, lambda o: document_id || ' -cites-> ' || o), list_transform(met, lambda o: document_id || ' -mentions-> ' || o)) AS links FROM d)
 SELECT document_id, array_to_string(['Document ID: ' || document_id, 'Court: ' || coalesce(court, 'Unknown'), 'Jurisdiction: ' || coalesce(jurisdiction, 'Unknown'), 'Legal Domain: ' || legal_domain, 'Judges: ' || {_SHOWN("judges")}, 'Statutes: ' || {_SHOWN("cites")},
  'Legal Entities: ' || {_SHOWN("met")}, 'Keywords: ' || {_SHOWN("ks")}, 'Semantic Relationships: ' || {_SHOWN("links")}], chr(10)) AS header FROM r"""
-)
+
+
+@query(_HEADER)
 def metadata_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.enrich(corpus(spark, sf_dir), "raw_text").select("document_id", metadata.header().alias("header"))
 
@@ -240,24 +244,67 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(corpus(spark, sf_dir), "document_id", sections.headings(F.col("raw_text"))).withColumnsRenamed({"start": "position", "end": "end_position"})
 
 
-@query(
-    rf"""{_HEADINGS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS i, lead(position) OVER (PARTITION BY document_id ORDER BY position) AS following FROM h),
+_SECTIONS = rf"""{_HEADINGS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS i, lead(position) OVER (PARTITION BY document_id ORDER BY position) AS following FROM h),
  p AS (SELECT document_id, i, [text] AS path FROM n WHERE i = 1 UNION ALL SELECT n.document_id, n.i, list_append(p.path[1:n.level - 1], n.text) FROM p JOIN n ON n.document_id = p.document_id AND n.i = p.i + 1),
  t AS (SELECT document_id, 0 AS body_from, position AS body_to, CAST(NULL AS VARCHAR) AS heading, CAST([] AS VARCHAR[]) AS path FROM n WHERE i = 1 UNION ALL SELECT document_id, end_position + length(regexp_extract(substr(raw_text, end_position + 1), '^(
 ?|
 )?[ \t]*')), coalesce(following, length(raw_text)), text, path FROM n JOIN p USING (document_id, i) JOIN c USING (document_id)),
- u AS (SELECT * FROM t WHERE body_from < body_to UNION ALL SELECT document_id, 0, length(raw_text), NULL, CAST([] AS VARCHAR[]) FROM c WHERE document_id NOT IN (SELECT document_id FROM t WHERE body_from < body_to))
-SELECT document_id, CAST(body_from AS INTEGER) AS body_from, CAST(body_to AS INTEGER) AS body_to, heading, array_to_string(path, ' > ') AS hierarchy FROM u"""
-)
+ u AS (SELECT * FROM t WHERE body_from < body_to UNION ALL SELECT document_id, 0, length(raw_text), NULL, CAST([] AS VARCHAR[]) FROM c WHERE document_id NOT IN (SELECT document_id FROM t WHERE body_from < body_to))"""
+
+
+@query(f"{_SECTIONS} SELECT document_id, CAST(body_from AS INTEGER) AS body_from, CAST(body_to AS INTEGER) AS body_to, heading, array_to_string(path, ' > ') AS hierarchy FROM u")
 def section_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(sections.sectioned(corpus(spark, sf_dir), "raw_text"), "document_id", F.col("sections"))
     return rows.select("document_id", F.col("start").alias("body_from"), F.col("end").alias("body_to"), "heading", F.array_join("hierarchy", " > ").alias("hierarchy"))
 
 
-@query()
+def _last(part: str, sign: str) -> str:
+    """Place from 0 of the last sign (a pattern) in part, -1 without one."""
+    return f"CASE WHEN regexp_matches({part}, '{sign}') THEN length(regexp_extract({part}, '(?s)^(.*){sign}', 1)) ELSE -1 END"
+
+
+#: The walk as a recursion over all sections at once: from a window's start and budget to its ideal end, to its cut, to the next start. Offsets count in header, blank line and body.
+def _chunks(most: int, overlap: int) -> str:
+    return rf"""{_SECTIONS}, g AS MATERIALIZED (SELECT document_id, header || chr(10) || chr(10) || raw_text AS content, length(header) + 2 AS base, length(raw_text) AS size,
+  {most} - len(regexp_extract_all(header, '\S+')) AS room FROM ({_HEADER}) JOIN c USING (document_id)),
+ o AS (SELECT document_id, regexp_extract_all(content, '\s*\S+') AS units FROM g), e AS (SELECT document_id, units, list_transform(units, lambda x: length(ltrim(x, chr(9) || chr(10) || ' '))) AS sizes FROM o),
+ y AS (SELECT document_id, i, CAST(sum(length(units[i])) OVER (PARTITION BY document_id ORDER BY i) AS BIGINT) AS till, sizes[i] AS size FROM e, unnest(range(1, len(units) + 1)) t(i)),
+ z AS MATERIALIZED (SELECT document_id, list(till - size ORDER BY i) AS begins, list(till ORDER BY i) AS ends FROM y GROUP BY document_id),
+ s0 AS MATERIALIZED (SELECT u.*, body_from + base AS at0, body_to + base AS till, row_number() OVER (PARTITION BY document_id ORDER BY body_from) AS part, room FROM u JOIN g USING (document_id) WHERE room > 0),
+ walk AS (SELECT document_id, part, 0 AS step, at0 AS spot, CAST(NULL AS BIGINT) AS cut, CASE WHEN part = 1 THEN room ELSE {most} END AS budget, till, heading, path FROM s0
+  UNION ALL SELECT document_id, part, step + 1, nxt, cut2, {most}, till, heading, path FROM (
+   SELECT *, CASE WHEN cut2 >= till THEN NULL ELSE greatest(CASE WHEN blank > 0 AND back + blank <= cut2 THEN back + blank ELSE back END, spot + 1) END AS nxt FROM (
+    SELECT *, strpos(substr(content, back + 1), ' ') AS blank FROM (
+     SELECT *, CASE WHEN behind > 0 THEN greatest(spot, ends[behind]) ELSE spot END AS back FROM (
+      SELECT *, len(list_filter(begins, lambda b: b < cut2)) - {overlap} AS behind FROM (
+       SELECT *, CASE WHEN ideal >= till THEN till WHEN greatest(blank_line, stop, space) <= 0 THEN greatest(ideal, spot + 1) WHEN blank_line > 0 THEN spot + blank_line + 2 WHEN stop > 0 THEN spot + stop + 2 ELSE spot + space + 1 END AS cut2 FROM (
+        SELECT *, {_last("part_text", "\n\n")} AS blank_line, {_last("part_text", r"\.[ \n]")} AS stop, {_last("part_text", " ")} AS space FROM (
+         SELECT *, substr(content, spot + 1, ideal - spot) AS part_text FROM (
+          SELECT *, CASE WHEN behind0 + budget >= len(begins) OR begins[behind0 + budget + 1] >= till THEN till ELSE greatest(begins[behind0 + budget + 1], spot + 1) END AS ideal FROM (
+           SELECT w.document_id, w.part, w.step, w.spot, w.budget, w.till, w.heading, w.path, g.content, z.begins, z.ends, len(list_filter(z.ends, lambda q: q <= w.spot)) AS behind0
+           FROM walk w JOIN g USING (document_id) JOIN z USING (document_id) WHERE w.spot IS NOT NULL AND w.spot < w.till)))))))))),
+ pairs AS (SELECT document_id, part, step, heading, path, lag(spot) OVER (PARTITION BY document_id, part ORDER BY step) - base AS a, cut - base AS b, content, base, size FROM walk JOIN g USING (document_id)),
+ made AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY part, step) - 1 AS INTEGER) AS ordinal FROM pairs WHERE step > 0)
+SELECT document_id || ':' || substr(sha256(concat_ws(chr(0), document_id, '1', a, b)), 1, 16) AS chunk_id, document_id, ordinal, heading, array_to_string(path, ' > ') AS section_hierarchy,
+ CASE WHEN ordinal = 0 THEN substr(content, 1, base) ELSE '' END || substr(content, base + a + 1, b - a) AS chunk_text, CAST(a AS INTEGER) AS source_start, CAST(b AS INTEGER) AS source_end, CAST(a // 500 + 1 AS INTEGER) AS page_start,
+ CAST(greatest(a, b - 1) // 500 + 1 AS INTEGER) AS page_end, CAST(NULL AS VARCHAR) AS reason FROM made
+UNION ALL SELECT document_id || ':' || substr(sha256(concat_ws(chr(0), document_id, '1')), 1, 16), document_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'header fills the budget' FROM g WHERE room <= 0"""
+
+
+@query(_chunks(MOST, OVERLAP))
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = flows.chunks_of(corpus(spark, sf_dir))
-    return made.select("chunk_id", "document_id", "ordinal", "heading", F.array_join("section_hierarchy", " > ").alias("section_hierarchy"), "chunk_text", "source_start", "source_end", "page_start", "page_end", "reason")
+    return _chunk_rows(flows.chunks_of(corpus(spark, sf_dir), MOST, OVERLAP))
+
+
+@query(_chunks(*TIGHT))
+def chunks_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short windows: most sections are cut several times, by blank lines, sentences and spaces, and the longest headers leave no room."""
+    return _chunk_rows(flows.chunks_of(corpus(spark, sf_dir), *TIGHT))
+
+
+def _chunk_rows(made: DataFrame) -> DataFrame:
+    path = F.array_join("section_hierarchy", " > ").alias("section_hierarchy")
+    return made.select("chunk_id", "document_id", "ordinal", "heading", path, "chunk_text", "source_start", "source_end", "page_start", "page_end", "reason")
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
