@@ -80,14 +80,15 @@ def _nearest(queries: dict[int, tuple], vectors: dict[int, tuple], k: int) -> pa
             score = np.round(q @ v[order].T, 6)
             # A stable sort by falling score over rows in order of id breaks ties by id.
             top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            parts.append((np.repeat(names, top.shape[1]), own[order][top].ravel(), np.take_along_axis(score, top, axis=1).ravel()))
+            found = np.repeat(names, top.shape[1]), own[order][top].ravel(), np.take_along_axis(score, top, axis=1).ravel()
+            parts.append(tuple(x[np.isfinite(found[2])] for x in found))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["query_id", "vec_id", "score"])
 
 
 def cosine_topk(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries(query_id, embedding) against vectors(vec_id, embedding); score to 6 places, ties to the smaller id.
 
-    Null and empty vectors and null ids take no part; vectors of different lengths don't meet. Up to block queries are broadcast: every batch of vectors meets them in one matrix product and passes
+    Null ids, null and empty vectors and those with components that are null or not finite take no part; vectors of different lengths don't meet. Up to block queries are broadcast: every batch of vectors meets them in one matrix product and passes
     on its own k best a query, so vectors are never shuffled. Beyond, queries and vectors are dealt into cells of block rows, one task each.
     """
     shape = "query_id bigint, vec_id bigint, score double"

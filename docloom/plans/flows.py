@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import answers, fusion, keyword, metadata, sections, standardise, vector_search, windows
+from ..operators.vector_index import VectorIndex
 from ..sources import catalog, tables, versions
 
 
@@ -55,6 +56,18 @@ def stored_index(docs: DataFrame, name: str, fields: list[str], key: str = "chun
     return store.read()
 
 
+def stored_vectors(vectors: DataFrame, name: str) -> VectorIndex:
+    """The clustered index called name of vectors(vec_id, embedding), written by the first that asks; its folder follows from the files behind vectors as in stored_index."""
+    spark = vectors.sparkSession
+    index = VectorIndex(spark, f"{tables.shared_folder(spark)}/vectors-{name}-{versions.fingerprint(spark, vectors.inputFiles())[:32]}")
+    if not versions.numbers(spark, f"{index.folder}/manifest"):
+        try:
+            index.write(vectors)
+        except versions.Conflict:  # another has written it meanwhile
+            pass
+    return index
+
+
 def hybrid(spark: SparkSession, queries: DataFrame, query_vectors: DataFrame, found: keyword.Index, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, chunk_id, fused_rank, fused_score) of both legs with the same k, keyword first.
 

@@ -392,11 +392,20 @@ def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COSINE = "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id CROSS JOIN embeddings v"
 
 
-@query(f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COSINE})) WHERE rank <= 5")
+_NEAREST = f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COSINE})) WHERE rank <= 5"
+
+
+@query(_NEAREST)
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.cosine_topk(spark, _query_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5)
 
 
+@query(_NEAREST)
+def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stored index by clusters, where bounds on angles spare vectors."""
+    return flows.stored_vectors(table(spark, sf_dir, "embeddings"), "embeddings").topk(_query_vectors(spark, sf_dir), 5)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
 
