@@ -1 +1,3 @@
-"""Whole flows, derived test corpus, registered queries and their SQL."""
+"""Whole flows, the derived corpus and the registered queries."""
+
+from . import record_queries as record_queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import page_label, preview, score_label
 from ..operators import answers, fusion, keyword, metadata, sections, standardise, vector_search, windows
 from ..operators.vector_index import VectorIndex
 from ..sources import catalog, tables, versions
@@ -79,6 +80,32 @@ def hybrid(spark: SparkSession, queries: DataFrame, query_vectors: DataFrame, fo
     return fusion.fused(*lists, k)
 
 
+def retrieved(found: DataFrame, near: DataFrame, chunks: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of two lists of hits(query_id, rank, chunk_id, score), keyword and semantic: both hydrated from chunks and registry, then fused."""
+    return fusion.fused(fusion.hydrated(found, chunks, known, "keyword"), fusion.hydrated(near, chunks, known, "semantic"), k)
+
+
+def cards(fused: DataFrame) -> DataFrame:
+    """What is shown of fused, hydrated chunks: each citation once, with the chunk it is matched to, its labels and a preview."""
+    placed = answers.matched(answers.citations(fused), fused)
+    chosen = fused.select("query_id", "chunk_id", "chunk_text", "retrieval_method", "retrieval_score", "fused_score")
+    method, own = F.col("retrieval_method"), F.col("retrieval_score")
+    return placed.join(chosen, ["query_id", "chunk_id"], "left").select(
+        "query_id",
+        "card_rank",
+        "citation_rank",
+        "document_id",
+        "chunk_id",
+        "chunk_rank",
+        "title",
+        "heading",
+        page_label(F.col("page_start"), F.col("page_end"), card=True).alias("pages"),
+        score_label(method, own).alias("score"),
+        score_label(F.lit("hybrid"), F.col("fused_score")).alias("fused"),
+        preview(F.col("chunk_text")).alias("preview"),
+    )
+
+
 def answer(spark: SparkSession, queries: DataFrame, fused: DataFrame, provider: str = "echo") -> DataFrame:
     """queries(query_id, text) with prompt, answer, tokens and status; fused holds hydrated, fused chunks."""
     return answers.generated(answers.prompts(queries, answers.contexts(fused)), provider)
