@@ -144,14 +144,11 @@ def mixed_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.one_dimension(table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding"), F.lit(1), 64 - F.col("label") % 2).alias("embedding")))
 
 
-@query(
-    r"""WITH l AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]+\n?') AS w FROM documents), k AS (SELECT doc_id, text, list_sum(list_transform(w, lambda x: length(x))) AS covered FROM l)
-SELECT doc_id, CASE WHEN regexp_matches(text, '^\n|\n\n[^\n]|\n\n+[^\n]') THEN 'gap' WHEN coalesce(covered, 0) <> length(text) THEN 'short cover' END AS fault FROM k"""
-)
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9][^0-9]') THEN 'gap' WHEN regexp_matches(text, '[0-9]$') THEN 'short cover' END AS fault FROM documents")
 def mapping_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps made of the lines of texts without the blank ones: a blank line inside leaves a gap, one at the end a cover that is too short."""
-    lines = find_all(F.col("text"), r"([^\n]+\n?)", whole=True)
-    spans = F.transform(lines, lambda s: F.struct(s["start"].alias("std_start"), s["end"].alias("std_end"), s["start"].alias("src_start"), s["end"].alias("src_end")))
+    """Maps of what stands between the digits of a text: digits inside leave a gap, digits at the end a cover that is too short."""
+    pieces = find_all(F.col("text"), "([^0-9]+)", whole=True)
+    spans = F.transform(pieces, lambda s: F.struct(s["start"].alias("std_start"), s["end"].alias("std_end"), s["start"].alias("src_start"), s["end"].alias("src_end")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"), spans.alias("spans"))
     return rows.select("doc_id", standardise.mapping_fault(F.col("spans"), F.col("size")).alias("fault"))
 
