@@ -44,14 +44,20 @@ def list_files(spark: SparkSession, folder: str, extension: str | None = None) -
     return (found if extension is None else found.filter(F.lower("path").endswith(extension.lower()))).orderBy("path")
 
 
+class Encrypted(Exception):
+    """Raised by a decoder for a file that needs a password."""
+
+
 def decode(files: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, page, text, error) of files(path, content): the decoder gives a file's page texts, and its failure one error row."""
+    """(path, page, text, error) of files(path, content): the decoder gives a file's page texts, and its failure one error row, whose reason is 'encrypted' where it raised Encrypted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     rows = [(path, i + 1, text, None) for i, text in enumerate(pages_of(content))]
+                except Encrypted:
+                    rows = [(path, None, None, "encrypted")]
                 except Exception as e:  # one bad file must not fail the run
                     rows = [(path, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
