@@ -18,8 +18,9 @@ a few verifications a text, and never all pairs of a bucket:
 1. Every text meets the leaders of its buckets and is verified against the one whose sketch agrees best.
 2. Texts now carry the name of their component. In every bucket with several components each text meets ``LEADERS`` leaders
    chosen by a hash; of all pairs between two components the best by sketch, from either half of the leaders, are verified.
-3. What is left is decided exactly. Texts of buckets that still hold several components list the rarest of their shingles (``prefixes``): two
-   texts reach the similarity only if they share one at places that leave room for the overlap. Pairs across components that
+3. What is left is decided exactly. Of buckets that still hold several components, those of at most ``SMALL`` texts tell all their pairs across components
+   whose sizes and sketches allow the similarity; the texts of pairs not verified yet, and all texts of larger buckets, list the rarest of their
+   shingles (``prefixes``): two texts reach the similarity only if they share one at places that leave room for the overlap. Pairs across components that
    meet in such a shingle, in places, sizes and sketches that allow the similarity, are all verified.
 
 Pairs within a component need no comparison, so no link that could join classes is lost. In the third pass a shingle's
@@ -28,7 +29,7 @@ largest component is only met by the others' texts, so its cost is the number of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,12 @@ SKETCH_LEAST = 0.62
 BLOCK, CHUNK = 64, 1 << 15
 #: Leaders of a bucket in the second pass.
 LEADERS = 4
+#: Buckets of at most so many texts compare sizes and sketches of all their pairs before the third pass; larger ones go to it whole.
+SMALL = 32
 #: Cells of the counts by which shingles are ordered, from rare to frequent. Any order gives the same links; collisions only cost time.
 CELLS = 1 << 20
+#: Bits of the table by which rows are left out before a join; with more keys fewer rows are, with the same result.
+BITS = 1 << 24
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -79,10 +84,11 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.nda
 def _points(seed: np.ndarray, limit: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, time, identity) of the Poisson points of rate width of every seed up to its limit, in order of time within a row.
 
-    Rows that expect about equally many points are drawn together, about CHUNK points at once, and go on where these did not reach the limit.
+    Rows that expect about equally many points are drawn together, about CHUNK points at once, and go on where these did not reach the limit. A row
+    draws little more than it expects at once, since what lies beyond its limit is thrown away; how many are drawn at once changes no point.
     """
     mean = limit * width
-    steps = np.maximum(4, 2.0 ** (np.ceil(2 * np.log2(mean + 3 * np.sqrt(mean) + 4)) / 2)).astype(np.int64)
+    steps = np.maximum(2, 2.0 ** (np.ceil(2 * np.log2(mean + np.sqrt(mean) / 2 + 1)) / 2)).astype(np.int64)
     for n in np.unique(steps):
         rows = np.flatnonzero(steps == n)
         size = max(1, CHUNK // int(n))
@@ -90,11 +96,16 @@ def _points(seed: np.ndarray, limit: np.ndarray, width: int) -> Iterator[tuple[n
             row, now, turn = rows[a : a + size], 0.0, np.arange(1, n + 1, dtype=U64)
             while len(row):
                 name = mix(seed[row][:, None] + turn * _GOLDEN)
-                gap = np.log(((name >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -width
+                gap = (name >> U64(11)).astype(np.float64)
+                gap += 0.5
+                gap *= 2.0**-53
+                np.log(gap, out=gap)
+                gap /= -width
                 gap[:, 0] += now
-                time = np.cumsum(gap, axis=1)
+                time = np.cumsum(gap, axis=1, out=gap)
                 live = time <= limit[row][:, None]
-                yield np.repeat(row, np.count_nonzero(live, axis=1)), time[live], name[live]
+                flat = np.flatnonzero(live)
+                yield row[flat // n], time.ravel()[flat], name.ravel()[flat]
                 on = live[:, -1]
                 row, now, turn = row[on], time[on, -1], turn + U64(n)
 
@@ -152,36 +163,39 @@ def bands(sig: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, body, offsets in pieces(batch.column("text")):
-            words = scan(body, offsets)
-            h = words.hashes()
-            doc, item, count = shingles(h, words.first)
-            n = b - a
-            sig = signatures(doc, item, count, n)
-            key = bands(sig).view(np.int64)
-            sketch = np.hstack([np.packbits(((sig >> U64(p)) & U64(1)).astype(np.uint8), axis=1).view(np.int64) for p in (0, 1)])
-            size = np.diff(words.first)
-            position = np.arange(len(h)) - np.repeat(words.first[:-1], size)
-            identity = np.zeros((n, 2), dtype=U64)
-            for c, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-                np.add.at(identity[:, c], words.doc_of_word(), mix(h + (position.astype(U64) + U64(1)) * U64(salt)))
-                identity[:, c] = mix(identity[:, c] + size.astype(U64))
-            some = size > 0
-            flat = pa.array(key[some].ravel())
-            ends = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(a, n),
-                    batch.column("xh").slice(a, n),
-                    pa.array([r.tobytes() if s else None for r, s in zip(identity, some, strict=True)], pa.binary()),
-                    pa.array(np.bincount(doc, weights=count, minlength=n).astype(np.int64)),
-                    *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))),
-                    pa.ListArray.from_arrays(pa.array(ends), flat),
-                ],
-                ["doc_id", "xh", "tid", "size", *SKETCH, "bands"],
-            )
+def _signer(keep: tuple[str, ...], measure: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Signs rows (doc_id, xh, text and the columns keep); measure(bytes, offsets) is one more number of every text, taken while it is here."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, body, offsets in pieces(batch.column("text")):
+                words = scan(body, offsets)
+                h = words.hashes()
+                doc, item, count = shingles(h, words.first)
+                n = b - a
+                sig = signatures(doc, item, count, n)
+                key = bands(sig).view(np.int64)
+                sketch = np.hstack([np.packbits(((sig >> U64(p)) & U64(1)).astype(np.uint8), axis=1).view(np.int64) for p in (0, 1)])
+                size = np.diff(words.first)
+                position = (np.arange(len(h)) - np.repeat(words.first[:-1], size) + 1).astype(U64)
+                identity = np.zeros((n, 2), dtype=U64)
+                for c, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+                    total = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(mix(h + position * U64(salt)))))
+                    identity[:, c] = mix(total[words.first[1:]] - total[words.first[:-1]] + size.astype(U64))
+                some = size > 0
+                flat = pa.array(key[some].ravel())
+                ends = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
+                columns = {
+                    **{c: batch.column(c).slice(a, n) for c in ("doc_id", "xh", *keep)},
+                    **({"measure": pa.array(measure(body, offsets))} if measure else {}),
+                    "tid": pa.array([r.tobytes() if s else None for r, s in zip(identity, some, strict=True)], pa.binary()),
+                    "size": pa.array(np.bincount(doc, weights=count, minlength=n).astype(np.int64)),
+                    **{name: pa.array(np.ascontiguousarray(sketch[:, i])) for i, name in enumerate(SKETCH)},
+                    "bands": pa.ListArray.from_arrays(pa.array(ends), flat),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return sign
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +321,28 @@ def _stragglers(keys: DataFrame) -> DataFrame:
     return met.select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).distinct()
 
 
+def _undecided(placed: DataFrame, tested: DataFrame) -> DataFrame:
+    """tid of the texts of placed(bucket, tid, root, size, sketch, n) that the third pass needs: those of buckets of more than SMALL texts, and both of every
+    pair (a, b) across components in another bucket whose sizes and sketches allow the similarity and which tested doesn't hold."""
+    columns = ["tid", "root", "size", *SKETCH]
+    few = placed.filter(F.col("n") <= SMALL).select("bucket", *columns)
+    met = few.join(few.select("bucket", *[F.col(c).alias(f"{c}2") for c in columns]), "bucket").filter((F.col("tid") < F.col("tid2")) & (F.col("root") != F.col("root2")) & _close())
+    pairs = met.select(F.col("tid").alias("a"), F.col("tid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return placed.filter(F.col("n") > SMALL).select("tid").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("tid"))).distinct()
+
+
+def _thinned(spark: SparkSession, rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows without most of those that no row of keys equals in the columns on, so that a join moves few others: a table of BITS bits by hash, whatever the input."""
+    cell = F.pmod(F.xxhash64(*on), F.lit(BITS))
+    word, bit = F.shiftright(cell, 6), F.pmod(cell, F.lit(64)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    table = keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(BITS // 64, dtype=np.int64)
+    bits[table.column("word").to_numpy()] = table.column("mask").to_numpy()
+    one = spark.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+    return rows.join(F.broadcast(one), F.get("bits", word.cast("int")).bitwiseAND(mask) != 0, "left_semi")
+
+
 def _at_roots(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of texts as pairs of their components' roots."""
     for end in ("a", "b"):
@@ -314,32 +350,36 @@ def _at_roots(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = (), measure: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """doc_id, xh (xxhash64 of the text), class_id (least doc_id of the class), is_first, for every row of docs(doc_id, text).
 
     A text without words (null, empty, only punctuation) links to nothing: it is its own class. Equal word sequences are one class
     whatever their case and punctuation. Repeated rows repeat. is_first marks the rows of the one document that
     stands for its class (the least doc_id, then the least xh); rows without words are all first. An empty table gives an empty result.
+    The columns keep of docs follow, and with a measure of texts (see _signer) a bigint column measure and a boolean column worded.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("xh"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("xh"), "text", *keep)
     own = ["size", *SKETCH]
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, tid binary, {', '.join(f'{c} bigint' for c in own)}, bands array<bigint>"
-    signed = materialise(spark, rows.mapInArrow(_sign, shape))
+    extra = [*keep, *(["measure"] if measure else [])]
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + ("measure bigint, " if measure else "")
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, xh bigint, {kept}tid binary, {', '.join(f'{c} bigint' for c in own)}, bands array<bigint>"
+    signed = materialise(spark, rows.mapInArrow(_signer(keep, measure), shape))
     worded = signed.filter(F.col("tid").isNotNull())
     texts = materialise(spark, worded.groupBy("tid").agg(F.min(F.struct("doc_id", "xh")).alias("rep"), *[F.first(c).alias(c) for c in (*own, "bands")]))
     entries = texts.select("tid", F.explode("bands").alias("bucket"))
     least = F.xxhash64("tid")
     leader = entries.groupBy("bucket").agg(F.min(least).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
     shared = materialise(spark, entries.join(leader, "bucket").join(texts.select("tid", *own), "tid"))
-    needed = shared.select("tid").distinct().join(texts.select("tid", "rep.doc_id", "rep.xh"), "tid")
-    source = rows.select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), "text")
+    needed = materialise(spark, shared.select("tid").distinct().join(texts.select("tid", "rep.doc_id", "rep.xh"), "tid"))
+    source = _thinned(spark, rows, needed, ["doc_id", "xh"]).select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x"))
     content = materialise(spark, needed.join(source, same).groupBy("tid").agg(F.first("text").alias("text")))
     # First pass: the best leader of every text.
     leaders = shared.filter(least == F.col("lead")).select("bucket", *[F.col(c).alias(f"{c}2") for c in ("tid", *own)])
     met = shared.filter(least != F.col("lead")).join(leaders, "bucket").filter(_close())
     best = met.groupBy("tid").agg(F.min(F.struct(_differ().alias("d"), "tid2")).alias("m")).select(F.col("tid").alias("b"), F.col("m.tid2").alias("a"))
-    first = _linked(spark, best, content)
+    tested = materialise(spark, best)
+    first = _linked(spark, tested, content)
     # A text has one leader, which may have its own: two steps up name the component well enough for the second pass.
     up = first.select(F.col("b").alias("node"), F.col("a").alias("root"))
     found = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -354,10 +394,13 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pair = F.struct(_differ().alias("d"), F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
     met = met.select(F.least("root", "root2").alias("r1"), F.greatest("root", "root2").alias("r2"), (F.col("slot") % 2).alias("half"), pair.alias("p"))
     best = met.groupBy("r1", "r2", "half").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+    best = materialise(spark, best)
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(best)
     second = _linked(spark, best, content)
     found = materialise(spark, components(spark, first.unionByName(second)))
     # Third pass: all that is left, by the rarest shingles.
-    open_texts = materialise(spark, _mixed(entries, found, []).select(*columns).distinct())
+    placed = materialise(spark, _mixed(entries, found, [F.count("*").alias("n")]).select("bucket", *columns, "n"))
+    open_texts = materialise(spark, _undecided(placed, tested).join(placed.select(*columns).distinct(), "tid").select(*columns))
     keys = prefixes(spark, content.join(open_texts.select("tid"), "tid", "left_semi")).join(open_texts, "tid")
     third = _linked(spark, _stragglers(materialise(spark, keys)), content)
     joined = components(spark, _at_roots(third, found)).select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -365,11 +408,12 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rooted = rooted.join(joined, "root", "left").select("tid", "rep", F.coalesce("top", "root").alias("root"))
     lead = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
     named = rooted.join(lead, "root").select("tid", "lead")
-    out = signed.select("doc_id", "xh", "tid").join(named, "tid", "left")
+    out = signed.select("doc_id", "xh", "tid", *extra).join(named, "tid", "left")
     alone = F.col("lead").isNull()
     leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("xh") == F.col("lead.xh"))
     name = F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id"))
-    return out.select("doc_id", "xh", name.alias("class_id"), (alone | leads).alias("is_first"))
+    worded = [F.col("tid").isNotNull().alias("worded")] if measure else []
+    return out.select("doc_id", "xh", name.alias("class_id"), (alone | leads).alias("is_first"), *extra, *worded)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lengths import encoded_lengths
+from . import neardup
+from .lengths import encoded_lengths, measure
 from .shared import materialise
 
 CAPACITY = 2048
@@ -124,3 +125,13 @@ def pack_encoded(spark: SparkSession, docs: DataFrame, clusters: DataFrame | Non
         known = materialise(spark, known.join(named, (F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x")), "left").drop("d", "x"))
         cluster = F.coalesce(F.when(F.col("worded"), F.concat(F.lit("class "), "class")), cluster)
     return pack(known, F.col("n_tokens"), F.col("source"), cluster, capacity, shard_items)
+
+
+def pack_classed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """pack_encoded() by the near-duplicate classes of docs, whose texts are read once for signatures and lengths. The rows are the same."""
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
+    known = materialise(spark, neardup.classes(spark, rows, keep=("source",), measure=measure(spark)))
+    # A null text has the hash of no text.
+    text = F.when(F.col("worded") | (F.col("xh") != F.xxhash64(F.lit(None).cast("string"))), F.col("xh")).cast("string")
+    cluster = F.coalesce(F.when(F.col("worded") & F.col("doc_id").isNotNull(), F.concat(F.lit("class "), F.col("class_id").cast("string"))), text)
+    return pack(known, F.col("measure"), F.col("source"), cluster, capacity, shard_items)

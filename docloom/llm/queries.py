@@ -47,8 +47,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return packing.pack_encoded(spark, docs, neardup.classes(spark, docs))
+    return packing.pack_classed(spark, _table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
