@@ -12,6 +12,9 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,10 @@ BUCKETS = 16
 LOOK, SEEDS = 8192, 2
 #: Rows up to which the asking side of a join is broadcast; beyond, both sides are shuffled.
 MOST_ROWS = 1 << 18
+#: Postings of a cell, terms of all questions up to which the weights are broadcast, and scores or sums that a cell holds at a time.
+CELL, FEW_TERMS, WIDTH = 1 << 18, 1 << 16, 1 << 21
+#: Different questions that cells score; beyond, bounds spare more than cells do.
+BLOCK = 4096
 
 
 def terms(x: Column) -> Column:
@@ -263,6 +270,15 @@ def _best_field(shares: DataFrame) -> DataFrame:
     return by_field.groupBy("query_id", "id").agg(F.round(F.max("s"), 6).alias("score"))
 
 
+def _weights(found: Index, mine: DataFrame, boosts: dict[str, float]) -> DataFrame:
+    """(field, term, df, mean_length, weight) of the terms in mine(term), in the boosted fields."""
+    boost = F.element_at(F.create_map(*[F.lit(v) for pair in boosts.items() for v in pair]), F.col("field"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    frequency = found.document_frequency.filter(F.col("field").isin(list(boosts))).join(mine, "term", "left_semi")
+    # One row a field.
+    return frequency.join(F.broadcast(found.fields), "field").select("field", "term", "df", "mean_length", (idf * boost).alias("weight"))
+
+
 class Search:
     """BM25 top-k of a batch of questions by upper bounds (after MaxScore: Turtle and Flood, 1995), in tables.
 
@@ -280,12 +296,7 @@ class Search:
         self.k, self.fields = k, list(boosts)
         asked = written(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct())
         self.asked, self.postings = asked, found.of_terms(asked)
-        boost = F.element_at(F.create_map(*[F.lit(v) for pair in boosts.items() for v in pair]), F.col("field"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        mine = asked.select("term").distinct()
-        frequency = found.document_frequency.filter(F.col("field").isin(self.fields)).join(mine, "term", "left_semi")
-        # One row a field.
-        weight = frequency.join(F.broadcast(found.fields), "field").select("field", "term", "mean_length", (idf * boost).alias("weight"))
+        weight = _weights(found, asked.select("term").distinct(), boosts).drop("df")
         bound = _share(F.col("weight"), F.col("max_tf"), F.col("min_length"), F.col("mean_length")) * (1 + 1e-12)
         self.blocks = written(found.blocks.join(weight, ["field", "term"]).select("field", "term", "block", "n", "min_id", "weight", "mean_length", bound.alias("bound")))
         most = self.blocks.groupBy("field", "term").agg(F.max("bound").alias("most"), F.first("weight").alias("weight"), F.first("mean_length").alias("mean_length"))
@@ -359,12 +370,99 @@ class Search:
         return summed.filter(reaches((F.col("s") + F.col("spare")) * (1 + 1e-12), F.col("id"))).select("query_id", "field", "id", "s", "n_optional")
 
 
+def _cell(k: int):
+    """The k best ids of each question in one cell: asked(query_id, t) and postings(id, field, t, share), t being a term's number."""
+
+    def run(asked: pa.Table, postings: pa.Table) -> pa.Table:
+        coded = lambda t, c: t.column(c).combine_chunks().dictionary_encode()
+        questions, ids = coded(asked, "query_id"), coded(postings, "id")
+        names, n = ids.dictionary, len(questions.dictionary)
+        # Ids are numbered in their order.
+        ordered = pc.sort_indices(names).to_numpy()
+        place = np.empty(len(ordered), np.int64)
+        place[ordered] = np.arange(len(ordered))
+        at, field, share = place[ids.indices.to_numpy()], postings.column("field").to_numpy(), postings.column("share").to_numpy()
+        # For each term its questions, in a row.
+        numbers = asked.column("t").to_numpy()
+        by_term = np.argsort(numbers, kind="stable")
+        asking = questions.indices.to_numpy()[by_term].astype(np.int64)
+        known, first, count = np.unique(numbers[by_term], return_index=True, return_counts=True)
+        term = np.searchsorted(known, postings.column("t").to_numpy())
+        rows = np.argsort(at, kind="stable")
+        at, field, share, first, count = at[rows], field[rows], share[rows], first[term[rows]], count[term[rows]]
+        begins = np.searchsorted(at, np.arange(len(names) + 1))
+        sums = np.concatenate(([0], np.cumsum(count)))[begins]
+        found, low = [], 0
+        while low < len(names):
+            # As many documents as keep both the scores and what is summed to them bounded, one at least.
+            high = min(len(names), low + max(1, WIDTH // n), max(low + 1, int(np.searchsorted(sums, sums[low] + WIDTH, side="right")) - 1))
+            width, best = high - low, np.zeros(n * (high - low))
+            part = slice(begins[low], begins[high])
+            for f in np.unique(field[part]):
+                mine = np.flatnonzero(field[part] == f) + begins[low]
+                c = count[mine]
+                spread = np.repeat(np.arange(len(mine)), c)
+                question = asking[np.arange(len(spread)) - np.repeat(np.cumsum(c) - c, c) + first[mine][spread]]
+                np.maximum(best, np.bincount(question * width + (at[mine] - low)[spread], share[mine][spread], n * width), out=best)
+            # One whole number for score, then id: no ties are left.
+            key = np.where(best > 0, (np.floor(best * 1e6 + 0.5).astype(np.int64) << 21) + (WIDTH - 1 - np.tile(np.arange(width), n)), -1).reshape(n, width)
+            top = np.argpartition(key, width - k, axis=1)[:, width - k :] if width > k else np.tile(np.arange(width), (n, 1))
+            key = np.take_along_axis(key, top, axis=1)
+            question, _ = np.nonzero(key >= 0)
+            found.append((question, (top + low)[key >= 0], key[key >= 0] >> 21))
+            low = high
+        question, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((doc, -score, question))
+        question, doc, score = question[order], doc[order], score[order]
+        kept = np.arange(len(order)) - np.searchsorted(question, question) < k
+        return pa.table({"query_id": questions.dictionary.take(pa.array(question[kept])), "id": names.take(pa.array(ordered[doc[kept]])), "score": score[kept] / 1e6})
+
+    return run
+
+
+def _in_cells(asked: DataFrame, found: Index, k: int, boosts: dict[str, float]) -> DataFrame:
+    """(query_id, id, score): the k best of each cell for asked(query_id, term), every posting of an asked term scored.
+
+    Documents are dealt into cells of about CELL postings, which meet all questions in one sum by document: no pair of question and document, and no pair of question and posting, is ever a row.
+    """
+    mine = written(asked.select("term").distinct().select("term", F.monotonically_increasing_id().alias("t")))
+    weights = written(_weights(found, mine.select("term"), boosts).join(mine, "term"))
+    told = weights.agg(F.count("*").alias("n"), F.sum("df").alias("postings")).first()
+    cells = max(1, -(-(told.postings or 0) // CELL))
+    rows = found.of_terms(mine).select("field", "term", "id", "tf", "length").join(F.broadcast(weights) if told.n <= FEW_TERMS else weights, ["field", "term"])
+    place = F.array_position(F.array(*map(F.lit, boosts)), F.col("field")).cast("int").alias("field")
+    share = _share(F.col("weight"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("share")
+    postings = rows.select(F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"), "id", place, "t", share)
+    every = asked.join(mine, "term").select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "query_id", "t")
+    run = _cell(k)
+
+    def cell(q: pa.Table, p: pa.Table) -> pa.Table:
+        return run(q, p) if q.num_rows and p.num_rows else pa.table({c: pa.array([], t) for c, t in (("query_id", q.schema.field("query_id").type), ("id", p.schema.field("id").type), ("score", pa.float64()))})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return every.groupBy("cell").cogroup(postings.groupBy("cell")).applyInArrow(cell, f"query_id {kind(asked, 'query_id')}, id {kind(postings, 'id')}, score double")
+
+
 def search(queries: DataFrame, found: Index, k: int, boosts: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, rank, id, score) of the k best of each row of queries(query_id, text); none for k <= 0. Scores to 6 places; ties to the smaller id.
+    """(query_id, rank, id, score) of the k best of each row of queries(query_id, text), written; none for k <= 0. Scores to 6 places; ties to the smaller id.
 
-    Repeated rows of a query_id are one question. See Search for the way: what is scored is what can still enter the k best.
+    Repeated rows of a query_id are one question, and questions of the same terms are answered once. Up to BLOCK different questions are scored in cells of documents; beyond, see Search for the way:
+    what is scored then is what can still enter the k best.
     """
     if k <= 0:
         return queries.join(found.postings.select("id"), F.lit(False)).select("query_id", F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score"))
-    run = Search(queries, found, k, boosts or BOOSTS)
-    return run.best(run.completed(written(run.left(run.cutoffs()))))
+    boosts = boosts or BOOSTS
+    single = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    sets = written(single.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("words")))
+    different = written(sets.groupBy("words").agg(F.min("query_id").alias("asked")))
+    if different.count() <= BLOCK:
+        asked = different.select(F.col("asked").alias("query_id"), F.explode("words").alias("term"))
+        scored = _in_cells(asked, found, k, boosts)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    else:
+        run = Search(different.select(F.col("asked").alias("query_id"), F.array_join("words", " ").alias("text")), found, k, boosts)
+        best = run.best(run.completed(written(run.left(run.cutoffs()))))
+    answered = written(best.select(F.col("query_id").alias("asked"), "rank", "id", "score"))
+    same = sets.join(different, "words").select("query_id", "asked")
+    return written(same.join(answered, "asked").select("query_id", "rank", "id", "score"))

@@ -164,3 +164,28 @@ def test_versions(spark, tmp_path):
     assert versions.read(spark, folder) == (3, {"x": 3}) and versions.read(spark, folder, 1) == (1, {"x": 1}) and versions.read(spark, folder, 9) is None
     versions.forget(spark, folder, keep=1)
     assert versions.numbers(spark, folder) == [3]
+
+
+def test_cells_equal_plain_scores(spark, monkeypatch):
+    """Many small cells, cut into bands of few scores and sums, and beyond BLOCK the bounds: the same rows as plain BM25."""
+    docs, questions = made(5, 100)
+    questions += [(100 + q, text) for q, text in questions[:5]]
+    index = keyword.index(spark.createDataFrame(docs, SHAPE), list(FIELDS))
+    asked = spark.createDataFrame(questions, "query_id long, text string")
+    monkeypatch.setattr(keyword, "CELL", 64)
+    monkeypatch.setattr(keyword, "WIDTH", 40)
+    assert found(keyword.search(asked, index, 3, FIELDS).collect()) == plain(docs, questions, 3)
+    monkeypatch.setattr(keyword, "BLOCK", 0)
+    assert found(keyword.search(asked, index, 3, FIELDS).collect()) == plain(docs, questions, 3)
+
+
+def test_search_runs_once_and_equal_questions_are_one(spark, monkeypatch):
+    """What is asked a thousand times is scored once, and the result is a table of its own: neither postings nor broadcasts are behind it."""
+    index = keyword.index(spark.createDataFrame([(i, "d", "", f"w{i % 5} x") for i in range(50)], SHAPE), ["body"])
+    asked = spark.range(1000).selectExpr("id AS query_id", "concat('x w', id % 5, ' X') AS text")
+    seen = []
+    whole = keyword._in_cells
+    monkeypatch.setattr(keyword, "_in_cells", lambda a, *rest: seen.append(a.select("query_id").distinct().count()) or whole(a, *rest))
+    out = keyword.search(asked, index, 3, {"body": 1.0})
+    assert seen == [5] and out.count() == 3000
+    assert "Join" not in out._jdf.queryExecution().toString()
