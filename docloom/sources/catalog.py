@@ -72,6 +72,10 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def join_files(files: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """files(category, filename) with their catalogue row; matched tells whether there is one (a miss is an error for the caller)."""
-    known = catalogue.select("category", "filename", "document_id", "title", "year", "source_url", "summary", F.lit(True).alias("matched"))
+    """files(category, filename) with their catalogue row; matched tells whether there is one (a miss is an error for the caller).
+
+    A file stays one row: of several catalogue rows under its name it gets the first by document_id, then by the other columns.
+    """
+    first = F.min(F.struct("document_id", "title", "year", "source_url", "summary")).alias("r")
+    known = catalogue.groupBy("category", "filename").agg(first).select("category", "filename", "r.*", F.lit(True).alias("matched"))
     return files.join(known, ["category", "filename"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))

@@ -196,3 +196,28 @@ def test_cosine_cells_equal_broadcast(spark):
         near = sorted((-round(float(np.dot(v, c) / np.linalg.norm(v) / np.linalg.norm(c)), 6), i) for i, c in rows[:60] if len(c) == len(v))
         want += [(q, r, i) for r, (_, i) in enumerate(near[:3], 1)]
     assert got[0] == got[1] and [g[:3] for g in got[0]] == want
+
+
+def test_a_file_is_one_row_whatever_is_listed_twice(spark):
+    """Two catalogue rows under a file's name and a registry row that repeats: one status a file; a fault stays with its file though another shares its id."""
+    text_ = "PART I x\nbody of it"
+    files_ = spark.createDataFrame([("tax", "a.pdf", "h1", text_, None), ("acts", "a.pdf", "h2", text_ + " more", None), ("acts", "b.pdf", "h3", None, "ValueError: x")], "category string, filename string, content_hash string, raw_text string, error string")
+    files_ = files_.selectExpr("*", "array(struct(0 as start, 100 as end)) as page_offsets")
+    listed = spark.createDataFrame([("tax", "a.pdf", "D1", "t"), ("tax", "a.pdf", "D1", "u"), ("acts", "a.pdf", "D1", "t"), ("acts", "b.pdf", "D2", "t")], "category string, filename string, document_id string, title string")
+    listed = listed.selectExpr("*", "2000 as year", "'s' as source_url", "cast(null as string) as summary")
+    known = spark.createDataFrame([("D1", "h1", "completed"), ("D1", "h1", "completed"), ("D9", "h9", "completed")], "document_id string, content_hash string, processing_status string")
+    chunks, rows = flows.ingested(files_, listed, known)
+    assert sorted((r.category, r.filename, r.status) for r in rows.collect()) == [("acts", "a.pdf", "SUCCESS"), ("acts", "b.pdf", "FAILED"), ("tax", "a.pdf", "SKIPPED")]
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
+    assert "content_hash" not in chunks.columns
+
+
+def test_values_of_texts_under_one_id(spark, tmp_path, duck):
+    """Keys of seven digits share ids of six: statutes and entities of an id stand once, as in SQL, and a file has one status."""
+    key = F.when(F.col("p_partkey") < 2, F.col("p_partkey") + 100000).otherwise(F.col("p_partkey") + 999998)
+    spark.read.parquet(f"{SF}/part.parquet").filter("p_partkey < 24").withColumn("p_partkey", key).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("metadata_values", "relationship_edges", "ingestion_run"):
+        df = library.QUERIES[name](spark, str(tmp_path))
+        names = sorted(df.columns)
+        made = duck.execute(f"WITH part AS (SELECT * FROM '{tmp_path}/part.parquet/*.parquet') SELECT {', '.join(names)} FROM ({library.SQL[name]})").fetchall()
+        assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted(made, key=str)
